@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.llm.common import batches, discard, materialize, mix64, table
 from lumenlog.llm.components import connected_components
+from lumenlog.llm.embeddings import local_roots
 from lumenlog.llm.shingles import shingle_sets
 
 POSITIONS = 64  # symbols of a signature
 BITS = 16  # bits of a symbol
 CHUNKS = 12  # chunks of 5 or 6 symbols, one wrong symbol allowed in each
 GUARANTEED = 2 * CHUNKS - 1  # by pigeonhole some chunk of two signatures this far apart has at most one wrong symbol
-FILTER = 30  # pairs further apart than this are not confirmed: at similarity 0.8 that is 5.5 deviations off
+FILTER = 28  # pairs further apart than this are not confirmed: at similarity 0.8 that is 5 deviations off
+TILE = 2048  # members of a key that are compared in one task; larger groups are dealt as pairs of tiles
+SEGMENT = 20_000  # candidate pairs confirmed together
 BROADCAST_BYTES = 16_000_000
 
 _RNG = np.random.default_rng(20240607)
@@ -78,7 +83,8 @@ def _keys(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if p != out:
                         h = mix64((h << np.uint64(16)) ^ (h >> np.uint64(48)) ^ sig[:, p])
                 keys.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, b - a))], ["key", "rep"])
+            slots = np.repeat(np.arange(a, b, dtype=np.int8), n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(slots), pa.array(np.tile(ids, b - a))], ["key", "slot", "rep"])
 
 
 def _near(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,21 +118,143 @@ def _confirm(percent: int):
     return run
 
 
+_CHUNK_OF = np.repeat(np.arange(CHUNKS), [b - a for a, b in chunk_bounds()])
+_STARTS = np.array([a for a, _ in chunk_bounds()])
+
+
+def _first_key(wrong: np.ndarray) -> np.ndarray:
+    """Per pair the slot of the first key that it shares, from its wrong positions (pairs x 64); -1: none."""
+    per_chunk = np.add.reduceat(wrong.astype(np.uint8), _STARTS, axis=1)
+    good = per_chunk <= 1
+    chunk = good.argmax(axis=1)
+    inside = wrong & (_CHUNK_OF[None, :] == chunk[:, None])
+    slot = np.where(inside.any(axis=1), inside.argmax(axis=1), _STARTS[chunk])
+    return np.where(good.any(axis=1), slot, -1)
+
+
+def _group_pairs(slot: int, left: np.ndarray, right: np.ndarray, same: bool, ids, comps, sizes, sigs, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of one group in parts: of different components, like sizes and signatures, not met at an earlier key."""
+    step = max(1, 200_000 // max(1, len(right)))
+    for at in range(0, len(left), step):
+        i = left[at : at + step]
+        x, y = np.repeat(i, len(right)), np.tile(right, len(i))
+        ok = (comps[x] != comps[y]) & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
+        if same:
+            ok &= x < y
+        x, y = x[ok], y[ok]
+        wrong = sigs[x] != sigs[y]
+        near = np.flatnonzero(wrong.sum(axis=1) <= FILTER)
+        near = near[_first_key(wrong[near]) == slot]
+        if len(near):
+            yield ids[x[near]], ids[y[near]]
+
+
+def _pairs(percent: int):
+    """Rows sorted by group (key, i, j) to segments: rows of about SEGMENT candidate pairs, each pair at one key only."""
+
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, xs, ys = TaskContext.get().partitionId() << 32, [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([np.concatenate(xs)]), pa.array([np.concatenate(ys)])], ["segment", "xs", "ys"])
+
+        tail: pa.Table | None = None
+        for batch in itertools.chain(_regrouped(items), [None]):
+            if batch is None:
+                rows, tail = tail, None
+            else:
+                rows = pa.Table.from_batches([batch]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([batch])])
+            if rows is None or not rows.num_rows:
+                continue
+            key, a, b = (rows.column(c).to_numpy() for c in ("key", "i", "j"))
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            ends = np.append(first[1:], len(key))
+            if batch is not None:  # the last group may go on in the next batch
+                tail = rows.slice(int(first[-1]))
+                first, ends = first[:-1], ends[:-1]
+            ids, comps, sizes, tile, slot = (rows.column(c).to_numpy() for c in ("rep", "c", "n", "tile", "slot"))
+            sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
+            for p, q in zip(first.tolist(), ends.tolist(), strict=True):
+                every, same = np.arange(p, q), a[p] == b[p]
+                left, right = (every, every) if same else (every[tile[p:q] == a[p]], every[tile[p:q] == b[p]])
+                for x, y in _group_pairs(int(slot[p]), left, right, same, ids, comps, sizes, sigs, percent):
+                    xs.append(x)
+                    ys.append(y)
+                    if sum(map(len, xs)) >= SEGMENT:
+                        yield out()
+                        number, xs, ys = number + 1, [], []
+        if xs:
+            yield out()
+
+    return run
+
+
+def _regrouped(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b for b in items if b.num_rows)
+
+
+def _overlap(u: np.ndarray, v: np.ndarray) -> int:
+    both = np.concatenate([u, v])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _settle(percent: int):
+    """A segment's pairs against its members' full sets: a star forest of the links found."""
+
+    def run(key: tuple, pairs: pa.Table, members: pa.Table) -> pa.Table:
+        sets = {d: np.frombuffer(s, np.uint64) for d, s in zip(members.column("doc_id").to_pylist(), members.column("shingles").to_pylist(), strict=True)}
+        a, b = [], []
+        for xs, ys in zip(pairs.column("xs").to_pylist(), pairs.column("ys").to_pylist(), strict=True):
+            for x, y in zip(xs, ys, strict=True):
+                u, v = sets[x], sets[y]
+                both = _overlap(u, v)
+                if 100 * both >= percent * (len(u) + len(v) - both):
+                    a.append(x)
+                    b.append(y)
+        ids, at = np.unique(np.array(a + b, np.int64), return_inverse=True)
+        root = local_roots(len(ids), at[: len(a)], at[len(a) :], ids)
+        return pa.table({"a": pa.array(ids, pa.int64()), "b": pa.array(root, pa.int64())})
+
+    return run
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """The shingle sets of the documents named in `wanted(doc_id)`, which is broadcast only if its counted size is small."""
+    few = wanted.count() * 16 <= BROADCAST_BYTES
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    return materialize(texts.mapInArrow(_sets(k), "doc_id long, shingles binary").groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "sets")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose signatures are near and whose full shingle sets reach the similarity."""
     sigs = reps.select("rep", "sig")
     signed = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
     near = materialize(signed.select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long"), "near")
     wanted = materialize(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "wanted")
-    few = wanted.count() * 16 <= BROADCAST_BYTES
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_sets(k), "doc_id long, shingles binary").groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "sets")
+    sets = _full_sets(docs, wanted, k)
     full = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
     out = materialize(full.select("a", "b", "xa", "xb").mapInArrow(_confirm(percent), "a long, b long"), "links")
     discard(near, wanted, sets)
     return out
 
 
+def _links_across(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components among the members `rows(key, slot, rep, c, n, sig)` of keys, as a star forest."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    dealt = rows.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    one = dealt.where("tiles = 1").select("key", "slot", "rep", "c", "n", "sig", "tile", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    many = dealt.where("tiles > 1").select("key", "slot", "rep", "c", "n", "sig", "tile", other)
+    many = many.select("key", "slot", "rep", "c", "n", "sig", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    groups = one.union(many).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    segments = materialize(groups.mapInArrow(_pairs(percent), "segment long, xs array<long>, ys array<long>"), "segments")
+    members = segments.select(F.col("segment").alias("of"), F.explode(F.array_distinct(F.concat("xs", "ys"))).alias("doc_id"))
+    sets = _full_sets(docs, materialize(members.select("doc_id").distinct(), "wanted"), k)
+    held = members.join(sets, "doc_id").select("of", "doc_id", "shingles")
+    return materialize(segments.groupBy("segment").cogroup(held.groupBy("of")).applyInArrow(_settle(percent), "a long, b long"), "across")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of `docs(doc_id, text)`: `doc_id, n_shingles, component_id, kept`.
 
@@ -138,33 +266,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
        one error a chunk may hold, so all pairs up to 23 wrong symbols of 64 share a key. At similarity 0.8 a pair
        shares none with a probability of 3e-7.
     3. Groups of a key are not expanded: every member is tried with the group's smallest one, links are confirmed on
-       full sets and joined to components. Only groups that still hold several components are expanded, and of those
-       only pairs across components, as all others are already reachable from each other.
+       full sets and joined to components. Only groups that still hold several components are looked at again, and of
+       those only pairs across components, as all others are already reachable from each other. These pairs are
+       compared inside tasks, tile by tile, each at the first key that it shares; rows leave only as lists of
+       candidates and as star forests of links. Texts that are alike but below the threshold are the costly case.
 
     Empty or null texts have no shingles and link with nothing. Rows that share an id count as one node; a row
     without an id links with nothing, has no component and is kept. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(docs.mapInArrow(_sign(k), "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
-    reps = materialize(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "reps")
-    keys = materialize(reps.select("rep", "sig").mapInArrow(_keys, "key long, rep long"), "keys")
+    reps = materialize(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"), F.max("n_shingles").alias("n")), "reps")
+    keys = materialize(reps.select("rep", "sig").mapInArrow(_keys, "key long, slot byte, rep long"), "keys")
     heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("key", "head")
     stars = keys.join(heads, "key").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     links = _links(stars, docs, reps, k, percent)
     first = connected_components(links)
-    shared = keys.join(heads.select("key"), "key").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    shared = keys.join(heads.select("key"), "key").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "slot", "rep", F.coalesce("component", "rep").alias("c"))
     shared = materialize(shared, "shared")
-    mixed = shared.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = materialize(shared.join(mixed, "key"), "mixed")
-    other = left.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    across = left.select("key", F.col("rep").alias("a"), "c").join(other, "key").where("a < b and c <> cb").select("a", "b").distinct()
-    across = across.join(stars, ["a", "b"], "left_anti")
-    more = _links(across, docs, reps, k, percent)
+    mixed = shared.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("g")).where("lo < hi and g > 2").select("key")
+    left = shared.join(mixed, "key").join(reps.select("rep", "n", "sig"), "rep")
+    more = _links_across(left, docs, k, percent)
     found = connected_components(links.union(more))
     named = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
-    discard(keys, shared, left)
+    discard(keys, shared, links, more)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
