@@ -8,7 +8,7 @@ from lumenlog.llm.common import encode_words, words_of
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -36,7 +36,7 @@ class WordTokenizer:
         self._clear()
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
