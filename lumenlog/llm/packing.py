@@ -16,7 +16,7 @@ from lumenlog.llm.common import batches, materialize, table
 from lumenlog.llm.tokens import WordTokenizer
 
 LENGTH = 2048
-SHARD_TOKENS = 6_000_000  # of one packing problem: about 3,000 sequences, 24 MB of ids
+SHARD_TOKENS = 4_000_000  # of one packing problem: about 2,000 sequences, 16 MB of ids
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 _TOKENIZERS: dict[str | None, WordTokenizer] = {}
@@ -206,7 +206,7 @@ def pack_balanced(docs: DataFrame, length: int = LENGTH, path: str | None = None
     """One row per piece of `docs(doc_id, text)`: `doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`.
 
     A document's ids end with id 1; a null text is empty and has that id alone. Long documents are cut. Each read
-    partition packs itself in shards of about 6 million tokens, so nothing is shuffled and memory is bounded; within a
+    partition packs itself in shards of about 4 million tokens, so nothing is shuffled and memory is bounded; within a
     shard all sequences are full except for a tail of powers of two. Rows that repeat an id are packed each for
     itself; an empty table gives no rows; further columns are ignored.
     """
@@ -244,7 +244,7 @@ def pack_best_fit(docs: DataFrame, length: int = LENGTH, path: str | None = None
                     position[at : at + n] = ramp[:n]
                     ends.append(at + n)
                 rows.append((base + s, ends[-1], row.tobytes(), position.tobytes(), ends, [ids_of[p[0]] for p in pieces], [p[1] for p in pieces], [int(sizes[p[0]]) for p in pieces]))
-                if len(rows) == 512:
+                if len(rows) == 256:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows = []
             if rows:
@@ -258,21 +258,13 @@ def write_packed(packed: DataFrame, path: str) -> None:
     packed.write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
 
-def _read_pieces(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in items:
-        rows = []
-        for r in zip(*[batch.column(c).to_pylist() for c in ("sequence_id", "input_ids", "position_ids", "cu_seqlens", "doc_ids", "doc_starts", "doc_tokens")], strict=True):
-            for i, doc in enumerate(r[4]):
-                a, b = r[3][i], r[3][i + 1]
-                first = np.frombuffer(r[2], "<u4", 1, 4 * a)[0]
-                rows.append((doc, r[5][i], b - a, zlib.crc32(r[1][4 * a : 4 * b]), r[6][i], r[0], a, int(first)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [*PIECE_NAMES, "first_position"])
-
-
 def packed_pieces(packed: DataFrame) -> DataFrame:
     """One row per piece of packed sequences, its checksum taken from the written matrix."""
-    return packed.mapInArrow(_read_pieces, PIECE_SCHEMA + ", first_position long")
+    piece = """transform(sequence(1, size(doc_ids)), i -> struct(doc_ids[i - 1] as doc_id, doc_starts[i - 1] as start,
+      cast(cu_seqlens[i] - cu_seqlens[i - 1] as long) as length,
+      crc32(substring(input_ids, 4 * cu_seqlens[i - 1] + 1, 4 * (cu_seqlens[i] - cu_seqlens[i - 1]))) as ids_crc32,
+      doc_tokens[i - 1] as doc_tokens, cast(cu_seqlens[i - 1] as long) as offset))"""
+    return packed.select("sequence_id", F.explode(F.expr(piece)).alias("p")).select("p.doc_id", "p.start", "p.length", "p.ids_crc32", "p.doc_tokens", "sequence_id", "p.offset")
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
