@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from lumenlog.llm.common import discard, materialize, table
 
 #: A line ends at a line feed, after a sentence, or before a capital that follows a small letter; it keeps its white space.
-LINE = r"(?<=\n)|(?<=[\p{L}\p{N}][.!?] )|(?<=\p{Ll} )(?=\p{Lu})"
+LINE = r"(?<=[\n ])(?:(?<=\n)|(?<=[\p{L}\p{N}][.!?] )|(?<=\p{Ll} )(?=\p{Lu}))"
 MIN_RUN_WORDS = 30  # shorter repeated runs stay: they are boilerplate or chance
 HASHED_WORDS = 8  # a hash covers a line and those after it up to so many words, four lines at most
 LONG_WORDS = 15  # such lines are always fingerprints
 BROADCAST_ROWS = 200_000
 
-_WORDS = "transform(lines, x -> if(trim(translate(x, '\\n\\t\\r', '   ')) = '', 0, 1 + length(trim(translate(x, '\\n\\t\\r', '   '))) - length(replace(trim(translate(x, '\\n\\t\\r', '   ')), ' ', ''))))"
+_PLAIN = r"transform(lines, x -> lower(trim(translate(x, '\n\t\r', '   '))))"
+_HASHES = "transform(plain, x -> xxhash64(x))"
+_WORDS = "transform(plain, x -> if(x = '', 0, 1 + octet_length(x) - octet_length(replace(x, ' ', ''))))"
 _SPAN = f"""transform(sequence(1, n), i -> case
   when w[i - 1] >= {HASHED_WORDS} or i = n then h[i - 1]
   when w[i - 1] + w[i] >= {HASHED_WORDS} or i + 1 = n then xxhash64(h[i - 1], h[i])
@@ -23,6 +25,20 @@ _SPAN = f"""transform(sequence(1, n), i -> case
 #: Window minima: of any two neighbouring hashes the smaller one is chosen, besides long lines.
 _CHOSEN = f"""filter(sequence(1, n), i -> w[i - 1] > 0 and (n = 1 or w[i - 1] >= {LONG_WORDS}
   or (i > 1 and g[i - 1] <= g[i - 2]) or (i < n and g[i - 1] <= g[i])))"""
+#: Fingerprints in order of hash, each with the line before, the line after what it covers, and the words covered.
+_PLACES = f"""array_sort(transform(chosen, i -> struct(g[i - 1] as k, i as pos, if(i > 1, h[i - 2], 0L) as before,
+  case when w[i - 1] >= {HASHED_WORDS} or i = n then if(i < n, h[i], 0L)
+    when w[i - 1] + w[i] >= {HASHED_WORDS} or i + 1 = n then if(i + 1 < n, h[i + 1], 0L)
+    when w[i - 1] + w[i] + w[i + 1] >= {HASHED_WORDS} or i + 2 = n then if(i + 2 < n, h[i + 2], 0L)
+    else if(i + 3 < n, h[i + 3], 0L) end as after,
+  case when w[i - 1] >= {HASHED_WORDS} or i = n then w[i - 1]
+    when w[i - 1] + w[i] >= {HASHED_WORDS} or i + 1 = n then w[i - 1] + w[i]
+    when w[i - 1] + w[i] + w[i + 1] >= {HASHED_WORDS} or i + 2 = n then w[i - 1] + w[i] + w[i + 1]
+    else w[i - 1] + w[i] + w[i + 1] + w[i + 2] end as words)))"""
+#: Within a text a fingerprint meets its own place before (a repeated line makes one shift, not one a copy) ...
+_SHIFTS = "array_distinct(filter(transform(s, (x, i) -> if(i > 0 and s[greatest(i, 1) - 1].k = x.k, x.pos - s[greatest(i, 1) - 1].pos, 0)), d -> d > 0))"
+#: ... and only its first place is held against other texts.
+_FIRSTS = "filter(s, (x, i) -> i = 0 or s[greatest(i, 1) - 1].k <> x.k)"
 #: Fold along the diagonal: (from, words, runs) with the runs of equal lines of at least the least words.
 _RUNS = f"""aggregate(sequence(1, n + 1), named_struct('at', 0, 'words', 0, 'runs', cast(array() as array<struct<a:int,b:int>>)),
   (s, i) -> case
@@ -39,27 +55,36 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
     1. Texts become arrays of line hashes, once and without a shuffle. Of two neighbours the smaller hash is a
        fingerprint, so a run shared by two texts holds a common one as soon as it has 52 words (fewer in most cases).
-    2. The first place of every fingerprint, by (doc_id, line), is a partial aggregation; other places join it, one row
-       on that side of each key, so even a line that most texts hold makes no more rows than it has places.
+    2. A fingerprint said again in one text meets its place before. The first text of every fingerprint is a partial
+       aggregation; the other texts' first places join it if the line before or after is the same too (or the
+       fingerprint alone has the words of a run). One row stands on that side of each key, so a line that most
+       texts hold makes no more rows than texts, and boilerplate between other lines makes none.
     3. Each (text, first text, shift) is extended both ways along its diagonal by comparing the two arrays.
 
     Every line deleted equals one at a smaller place, so the first copy of each passage stays.
     """
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null and text <> ''")
     split = lines.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", LINE).alias("lines"))
-    hashed = split.select("doc_id", "th", F.expr("transform(lines, x -> xxhash64(lower(trim(translate(x, '\\n\\t\\r', '   ')))))").alias("h"), F.expr(_WORDS).alias("w"))
+    plain = split.select("doc_id", "th", F.expr(_PLAIN).alias("plain"))
+    hashed = plain.select("doc_id", "th", F.expr(_HASHES).alias("h"), F.expr(_WORDS).alias("w"))
     hashed = materialize(hashed.withColumn("n", F.size("h")), "lines")
     spans = hashed.withColumn("g", F.expr(_SPAN)).withColumn("chosen", F.expr(_CHOSEN))
-    places = spans.select("doc_id", F.explode(F.expr("transform(chosen, i -> struct(g[i - 1] as k, i as pos))")).alias("x")).select("doc_id", "x.k", "x.pos")
-    first = places.groupBy("k").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("c")).where("c > 1").select("k", F.col("f.doc_id").alias("fdoc"), F.col("f.pos").alias("fpos"))
-    met = places.join(first, "k").where("fdoc < doc_id or (fdoc = doc_id and fpos < pos)")
-    shifts = materialize(met.select("doc_id", "fdoc", (F.col("pos") - F.col("fpos")).alias("d")).distinct(), "shifts")
+    placed = spans.select("doc_id", F.expr(_PLACES).alias("s")).select("doc_id", "s", F.expr(_SHIFTS).alias("own"), F.expr(_FIRSTS).alias("firsts"))
+    placed = materialize(placed.select("doc_id", "own", "firsts"), "places")
+    places = placed.select("doc_id", F.explode("firsts").alias("x")).select("doc_id", "x.k", "x.pos", "x.before", "x.after", "x.words")
+    f = F.min(F.struct("doc_id", "pos", "before", "after")).alias("f")
+    first = places.groupBy("k").agg(f, F.count("*").alias("c")).where("c > 1").select("k", F.col("f.doc_id").alias("fdoc"), F.col("f.pos").alias("fpos"), F.col("f.before").alias("fbefore"), F.col("f.after").alias("fafter"))
+    goes_on = F.expr(f"words >= {MIN_RUN_WORDS} or before = fbefore or after = fafter")
+    met = places.alias("p").join(first.alias("q"), (F.col("p.k") == F.col("q.k")) & (F.col("fdoc") < F.col("doc_id")) & goes_on)
+    across = met.select("doc_id", "fdoc", (F.col("pos") - F.col("fpos")).alias("d")).distinct()
+    within = placed.select("doc_id", F.col("doc_id").alias("fdoc"), F.explode("own").alias("d"))
+    shifts = materialize(across.union(within), "shifts")
     other = hashed.select(F.col("doc_id").alias("fdoc"), F.col("h").alias("fh"), F.col("n").alias("fn"))
     both = shifts.join(hashed, "doc_id").join(other, "fdoc")
     runs = both.select("doc_id", "th", F.expr(_RUNS).alias("runs")).where("size(runs) > 0")
     out = runs.select("doc_id", "th", F.explode("runs").alias("run")).distinct().groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))
     out = materialize(out, "runs")
-    discard(hashed, shifts)
+    discard(hashed, placed, shifts)
     return out
 
 
@@ -72,17 +97,18 @@ def drop_repeated_runs(docs: DataFrame) -> DataFrame:
     an id pass through; rows that share an id are compared each, equal rows of one id both stay. An empty table gives
     no rows. The runs found are broadcast only after counting them, else joined by a shuffle.
     """
-    runs = repeated_runs(docs).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("runs").alias("__runs"))
-    if runs.count() <= BROADCAST_ROWS:
-        runs = F.broadcast(runs)
-    names = docs.columns
-    joined = docs.join(runs, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64("text") == F.col("__th")), "left")
+    found = repeated_runs(docs).select(F.col("doc_id").alias("of"), "th", "runs")
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    names = [c for c in docs.columns if c != "lines_removed"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text"))
+    joined = rows.join(found, (F.col("id") == F.col("of")) & (F.xxhash64("text") == F.col("th")), "left")
     numbered = F.split("text", LINE)
-    kept = F.filter(numbered, lambda x, i: ~F.exists("__runs", lambda r: (i + 1 >= r["a"]) & (i + 1 <= r["b"])))
-    removed = F.when(F.col("__runs").isNotNull(), F.size(numbered) - F.size(kept)).otherwise(0).cast("long")
-    text = F.when(F.col("__runs").isNotNull(), F.array_join(kept, "")).otherwise(F.col("text"))
-    cols = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names if c != "lines_removed"]
-    return joined.select(*cols, removed.alias("lines_removed"))
+    kept = F.filter(numbered, lambda x, i: ~F.exists("runs", lambda r: (i + 1 >= r["a"]) & (i + 1 <= r["b"])))
+    hit = F.col("runs").isNotNull()
+    removed = F.when(hit, F.size(numbered) - F.size(kept)).otherwise(0).cast("long")
+    text = F.when(hit, F.array_join(kept, "")).otherwise(F.col("text"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in names], removed.alias("lines_removed"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,27 +49,26 @@ def mix_plan(docs: DataFrame, cap: float = CAP, seed: str = "mix", payload: list
     Existing columns with these names are replaced. `payload` names the columns to keep besides those (all by
     default). The targets are one row a source; they are broadcast only after counting them, else joined by a shuffle.
     """
+    names = [c for c in (docs.columns if payload is None else payload) if c not in OWN]
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    base = docs.drop(*OWN).withColumn("size", word_count("text")).withColumn("__u", uniform(key, seed))
-    if payload is not None:
-        base = base.select(*[F.col(f"`{c}`") for c in payload], "source", "size", "__u")
+    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None)
+    base = docs.select("source", word_count("text").alias("size"), uniform(key, seed).alias("u"), row.alias("row"))
     sizes = docs.select("source", word_count("text").alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(sizes, cap).select(F.col("source").alias("__source"), "source_size", "target", "rate"), "targets")
+    targets = materialize(source_targets(sizes, cap).select(F.col("source").alias("of"), "source_size", "target", "rate"), "targets")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    joined = base.join(targets, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    whole = F.floor("rate")
-    copies = (whole + F.when(F.col("__u") < F.col("rate") - whole, 1).otherwise(0)).cast("long")
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("rate", "__u")
+    joined = base.join(targets, F.col("source").eqNullSafe(F.col("of")), "left")
+    copies = (F.floor("rate") + F.when(F.col("u") < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in names], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, cap: float = CAP, seed: str = "mix") -> DataFrame:
     """The mix itself: every document as often as `mix_plan` says, with the columns of `docs`."""
     names = docs.columns
-    whole = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
-    planned = mix_plan(whole, cap, seed, payload=["__row"])
-    repeated = planned.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*[F.col("__row").getField(c).alias(c) for c in names])
+    whole = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in names]).alias("document"))
+    planned = mix_plan(whole, cap, seed, payload=["document"])
+    repeated = planned.where("copies > 0").select("document", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*[F.col("document").getField(c).alias(c) for c in names])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
