@@ -627,3 +627,53 @@ def p3(spark, d):
 @query("p4_correlation", with_("spans") + ", n AS (SELECT app_id, lead(app_id) OVER (PARTITION BY user_id ORDER BY start_ts, event_id) AS after_app FROM spans) SELECT app_id, after_app, count(*) AS n FROM n WHERE after_app IS NOT NULL AND app_id = 'click' GROUP BY 1, 2")
 def p4(spark, d):
     return L.correlation(B.spans(spark, d), "click")
+
+
+# --- payloads
+
+
+def _payloads(spark, d):
+    o = B.read(spark, d, "orders")
+    topic = F.struct(F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderkey") % 5 == 0, 1.5).alias("confidence"))
+    activity = F.struct(F.when(F.col("o_orderkey") % 7 == 0, "late").otherwise("09:15").alias("time_start"), F.concat(F.lit("work "), "o_orderstatus").alias("description"))
+    text = F.to_json(F.struct(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("summary"), F.array(topic).alias("topics"), F.array(activity).alias("activities")))
+    return o.select(F.col("o_orderkey").alias("note_id"), F.col("o_orderdate").alias("start_ts"), F.when(F.col("o_orderkey") % 11 == 0, "{broken").otherwise(text).alias("payload"))
+
+
+@query("f09_validate_payloads", "SELECT o_orderkey AS note_id, CASE WHEN o_orderkey % 11 = 0 THEN 'not JSON' WHEN o_orderkey % 3 = 0 THEN 'no summary' WHEN o_orderkey % 5 = 0 THEN 'confidence' WHEN o_orderkey % 7 = 0 THEN 'time' ELSE 'valid' END AS outcome FROM orders")
+def f09(spark, d):
+    from lumenlog.operators.payload import validate_payloads
+
+    valid, aside = validate_payloads(_payloads(spark, d))
+    return valid.select("note_id", F.lit("valid").alias("outcome")).union(aside.select("note_id", "problem"))
+
+
+@query("f15_tag_documents", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'code' WHEN 2 THEN 'gdoc' END AS document_type, CASE WHEN p_partkey % 4 = 1 THEN '/Users/x/' || replace(p_name, ' ', '_') || '.py' END AS document_path, CASE p_partkey % 4 WHEN 0 THEN 0.8 WHEN 1 THEN 0.9 WHEN 2 THEN 0.85 ELSE 0.0 END AS document_confidence FROM part")
+def f15(spark, d):
+    from lumenlog.operators.payload import tag_documents
+
+    m = F.col("p_partkey") % 4
+    p = B.read(spark, d, "part").select("p_partkey", F.when(m == 0, "com.apple.Preview").otherwise("x").alias("app_id"), F.when(m == 1, F.concat(F.lit("/Users/x/"), F.regexp_replace("p_name", " ", "_"), F.lit(".py"))).when(m == 2, F.concat("p_name", F.lit(" - Google Docs"))).otherwise(F.col("p_name")).alias("window_title"))
+    return tag_documents(p).select("p_partkey", "document_type", "document_path", F.col("document_confidence").cast("double").alias("document_confidence"))
+
+
+@query("f20_embedding_text")
+def f20(spark, d):
+    from lumenlog.operators.payload import embedding_text, validate_payloads
+
+    return embedding_text(validate_payloads(_payloads(spark, d))[0])
+
+
+@query("f21_timeline_text", _CLIP + " SELECT user_id, CAST(hour AS TIMESTAMP) AS hour, string_agg(strftime(greatest(start_ts, hour), '%H:%M') || ' ' || app_id || coalesce(' ' || window_title, ''), chr(10) ORDER BY greatest(start_ts, hour), event_id) AS timeline FROM c WHERE seconds > 0 GROUP BY 1, 2")
+def f21(spark, d):
+    from lumenlog.operators.payload import timeline_text
+
+    return timeline_text(W.clip_to_hours(B.spans(spark, d)))
+
+
+@query("a20_dashboard", with_("spans", "links", "entities") + " SELECT 'apps' AS report, count(DISTINCT app_id) AS n FROM spans UNION ALL SELECT 'topics', least(20, (SELECT count(DISTINCT canonical_name) FROM links JOIN entities USING (entity_id))) UNION ALL SELECT 'trend', (SELECT count(DISTINCT CAST(ts AS DATE)) FROM events) UNION ALL SELECT 'heatmap', 168 UNION ALL SELECT 'summary', 1")
+def a20(spark, d):
+    from lumenlog.operators.payload import dashboard
+    from lumenlog.sources.tables import export_summary
+
+    return export_summary(dashboard(B.spans(spark, d), B.samples(spark, d), B.links(spark, d), B.entities(spark, d))).withColumnRenamed("table_name", "report")
