@@ -7,7 +7,7 @@ import corpus_pipeline
 from lumenlog.llm import embeddings, fingerprints, html, lines, minhash, mixing, packing, quality, suffix_tree
 from lumenlog.llm.queries import ORACLES, QUERIES
 
-LONG = "Word and another word here. " * 20_000
+LONG = "Word and another word here. " * 4_000
 ROWS = [(1, "A text.", "en", "s", 7), (1, "A text.", "en", "s", 7), (1, "Other text", "en", None, None), (None, "No id here", None, "s", 1), (None, None, None, None, None), (5, None, "en", "s", 0), (6, "", "en", "s", 0), (7, " \t\n", "en", "s", 3), (8, LONG, "en", "t", 1), (9, LONG + "end", "en", "t", 1)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ["key", "rep", "sig", "digest", "n", "h", "w", "pos", "__u", "size", "rate", "target", "copies", "component_id", "kept", "accepted", "p_good", "mark", "bucket", "lines_removed", "__runs", "word", "c"]
