@@ -1,4 +1,4 @@
-"""Line dedup (native): winnowed line hashes, positions joined, matches extended both ways, later repeated runs deleted."""
+"""Line dedup (native): hashes of the least runs of lines that count, places met by hash, later repeated runs deleted."""
 
 from __future__ import annotations
 
@@ -10,81 +10,70 @@ from lumenlog.llm.common import discard, materialize, table
 #: A line ends at a line feed, after a sentence, or before a capital that follows a small letter; it keeps its white space.
 LINE = r"(?<=[\n ])(?:(?<=\n)|(?<=[\p{L}\p{N}][.!?] )|(?<=\p{Ll} )(?=\p{Lu}))"
 MIN_RUN_WORDS = 30  # shorter repeated runs stay: they are boilerplate or chance
-HASHED_WORDS = 8  # a hash covers a line and those after it up to so many words, four lines at most
-LONG_WORDS = 15  # such lines are always fingerprints
 BROADCAST_ROWS = 200_000
+_TRIED = 6  # run lengths that are tried one by one before all up to the most lines are summed
 
 _PLAIN = r"transform(lines, x -> lower(trim(translate(x, '\n\t\r', '   '))))"
-_HASHES = "transform(plain, x -> xxhash64(x))"
-_WORDS = "transform(plain, x -> if(x = '', 0, 1 + octet_length(x) - octet_length(replace(x, ' ', ''))))"
-_SPAN = f"""transform(sequence(1, n), i -> case
-  when w[i - 1] >= {HASHED_WORDS} or i = n then h[i - 1]
-  when w[i - 1] + w[i] >= {HASHED_WORDS} or i + 1 = n then xxhash64(h[i - 1], h[i])
-  when w[i - 1] + w[i] + w[i + 1] >= {HASHED_WORDS} or i + 2 = n then xxhash64(h[i - 1], h[i], h[i + 1])
-  else xxhash64(h[i - 1], h[i], h[i + 1], h[i + 2]) end)"""
-#: Window minima: of any two neighbouring hashes the smaller one is chosen, besides long lines.
-_CHOSEN = f"""filter(sequence(1, n), i -> w[i - 1] > 0 and (n = 1 or w[i - 1] >= {LONG_WORDS}
-  or (i > 1 and g[i - 1] <= g[i - 2]) or (i < n and g[i - 1] <= g[i])))"""
-#: Fingerprints in order of hash, each with the line before, the line after what it covers, and the words covered.
-_PLACES = f"""array_sort(transform(chosen, i -> struct(g[i - 1] as k, i as pos, if(i > 1, h[i - 2], 0L) as before,
-  case when w[i - 1] >= {HASHED_WORDS} or i = n then if(i < n, h[i], 0L)
-    when w[i - 1] + w[i] >= {HASHED_WORDS} or i + 1 = n then if(i + 1 < n, h[i + 1], 0L)
-    when w[i - 1] + w[i] + w[i + 1] >= {HASHED_WORDS} or i + 2 = n then if(i + 2 < n, h[i + 2], 0L)
-    else if(i + 3 < n, h[i + 3], 0L) end as after,
-  case when w[i - 1] >= {HASHED_WORDS} or i = n then w[i - 1]
-    when w[i - 1] + w[i] >= {HASHED_WORDS} or i + 1 = n then w[i - 1] + w[i]
-    when w[i - 1] + w[i] + w[i + 1] >= {HASHED_WORDS} or i + 2 = n then w[i - 1] + w[i] + w[i + 1]
-    else w[i - 1] + w[i] + w[i + 1] + w[i + 2] end as words)))"""
-#: Within a text a fingerprint meets its own place before (a repeated line makes one shift, not one a copy) ...
-_SHIFTS = "array_distinct(filter(transform(s, (x, i) -> if(i > 0 and s[greatest(i, 1) - 1].k = x.k, x.pos - s[greatest(i, 1) - 1].pos, 0)), d -> d > 0))"
-#: ... and only its first place is held against other texts.
+_HASHES = "transform(real, x -> xxhash64(x))"
+_WORDS = "transform(real, x -> 1 + octet_length(x) - octet_length(replace(x, ' ', '')))"
+#: Numbers of the lines with words, null where all lines have some.
+_AT = "if(size(real) = size(plain), null, filter(sequence(1, greatest(1, size(plain))), i -> plain[i - 1] <> ''))"
+#: Per line the last line of the shortest run from it that has the least words, n + 1 if there is none. A line has a word at least.
+_ENDS = f"""transform(sequence(1, greatest(1, n)), i -> coalesce(case
+  {" ".join(f"when {' + '.join(f'get(w, i + {j - 1})' for j in range(k))} >= {MIN_RUN_WORDS} then i + {k - 1}" for k in range(1, _TRIED + 1))}
+  else aggregate(sequence(i, greatest(i, least(n, i + {MIN_RUN_WORDS - 1}))), named_struct('s', 0, 'at', i - 1),
+    (s, t) -> if(s.s >= {MIN_RUN_WORDS}, s, named_struct('s', s.s + coalesce(get(w, t - 1), 0), 'at', t)),
+    s -> if(s.s >= {MIN_RUN_WORDS}, s.at, n + 1)) end, n + 1))"""
+#: The shortest run from each line, and the shortest one to each line at which none of those ends. The arrays are bound
+#: to a variable: the optimizer would else put what makes them into the inner function, to be done again for each line. slice() copies
+#: the whole array each time, so elements are taken one by one; no filter
+#: stands behind these columns, as it would be pushed below them with all that makes them.
+_LEAST_RUNS = """flatten(flatten(transform(array(named_struct('e', e, 'h', h, 'at', at, 'n', n, 'size', size)), v ->
+  transform(filter(sequence(1, greatest(1, v.n)), i -> v.e[i - 1] <= v.n), i -> transform(
+    sequence(v.e[i - 1], greatest(v.e[i - 1], coalesce(get(v.e, i), v.n + 1) - 1)),
+    j -> named_struct('k', xxhash64(transform(sequence(i, j), t -> v.h[t - 1])), 'a', if(v.at is null or i = 1, i, v.at[i - 1]), 'b', if(v.at is null, j, coalesce(get(v.at, j), v.size + 1) - 1)))))))"""
+#: Within a text a run meets its place before; only the first place is held against other texts.
+_AGAIN = "array_sort(transform(filter(s, (x, i) -> i > 0 and s[greatest(i, 1) - 1].k = x.k), x -> named_struct('a', x.a, 'b', x.b)))"
 _FIRSTS = "filter(s, (x, i) -> i = 0 or s[greatest(i, 1) - 1].k <> x.k)"
-#: Fold along the diagonal: (from, words, runs) with the runs of equal lines of at least the least words.
-_RUNS = f"""aggregate(sequence(1, n + 1), named_struct('at', 0, 'words', 0, 'runs', cast(array() as array<struct<a:int,b:int>>)),
-  (s, i) -> case
-    when i <= n and i - d between 1 and fn and h[i - 1] = fh[i - d - 1]
-      then named_struct('at', if(s.at = 0, i, s.at), 'words', s.words + w[i - 1], 'runs', s.runs)
-    when s.words >= {MIN_RUN_WORDS}
-      then named_struct('at', 0, 'words', 0, 'runs', concat(s.runs, array(named_struct('a', s.at, 'b', i - 1))))
-    else named_struct('at', 0, 'words', 0, 'runs', s.runs) end,
-  s -> s.runs)"""
+
+
+def _joined(runs: str) -> str:
+    """Sorted runs as few that neither overlap nor touch."""
+    return f"""aggregate({runs}, named_struct('a', 0, 'b', -1, 'runs', cast(array() as array<struct<a:int,b:int>>)),
+  (s, x) -> case when s.b < 0 then named_struct('a', x.a, 'b', x.b, 'runs', s.runs)
+    when x.a <= s.b + 1 then named_struct('a', s.a, 'b', greatest(s.b, x.b), 'runs', s.runs)
+    else named_struct('a', x.a, 'b', x.b, 'runs', concat(s.runs, array(named_struct('a', s.a, 'b', s.b)))) end,
+  s -> if(s.b < 0, s.runs, concat(s.runs, array(named_struct('a', s.a, 'b', s.b)))))"""
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """`doc_id, th, runs`: per text (th: its xxhash64) the ranges of lines, from 1, that repeat an earlier place.
 
-    1. Texts become arrays of line hashes, once and without a shuffle. Of two neighbours the smaller hash is a
-       fingerprint, so a run shared by two texts holds a common one as soon as it has 52 words (fewer in most cases).
-    2. A fingerprint said again in one text meets its place before. The first text of every fingerprint is a partial
-       aggregation; the other texts' first places join it if the line before or after is the same too (or the
-       fingerprint alone has the words of a run). One row stands on that side of each key, so a line that most
-       texts hold makes no more rows than texts, and boilerplate between other lines makes none.
-    3. Each (text, first text, shift) is extended both ways along its diagonal by comparing the two arrays.
+    1. Texts become arrays of line hashes, once and without a shuffle. Blank lines have no part in it.
+    2. The shortest run of 30 words or more from each line and to each line is hashed as a whole. Any longer run is
+       the union of those inside it, so a line is repeated if and only if one of its runs is: no choice of
+       fingerprints can miss a run, and none depends on which other texts hold parts of it.
+    3. A run said again in one text meets its place before there. The first text of every hash is a partial
+       aggregation of numbers; the first places of later texts join it. One row stands on that side of each key, so
+       a passage that most texts hold makes no more rows than it has places.
+    4. The ranges of each text are joined to the longest ones.
 
-    Every line deleted equals one at a smaller place, so the first copy of each passage stays.
+    Every line deleted equals one at a smaller place, so the first copy of each passage stays; blank lines that
+    follow a deleted line, or precede it at the head of a text, go with it.
     """
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null and text <> ''")
     split = lines.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", LINE).alias("lines"))
-    plain = split.select("doc_id", "th", F.expr(_PLAIN).alias("plain"))
-    hashed = plain.select("doc_id", "th", F.expr(_HASHES).alias("h"), F.expr(_WORDS).alias("w"))
-    hashed = materialize(hashed.withColumn("n", F.size("h")), "lines")
-    spans = hashed.withColumn("g", F.expr(_SPAN)).withColumn("chosen", F.expr(_CHOSEN))
-    placed = spans.select("doc_id", F.expr(_PLACES).alias("s")).select("doc_id", "s", F.expr(_SHIFTS).alias("own"), F.expr(_FIRSTS).alias("firsts"))
-    placed = materialize(placed.select("doc_id", "own", "firsts"), "places")
-    places = placed.select("doc_id", F.explode("firsts").alias("x")).select("doc_id", "x.k", "x.pos", "x.before", "x.after", "x.words")
-    f = F.min(F.struct("doc_id", "pos", "before", "after")).alias("f")
-    first = places.groupBy("k").agg(f, F.count("*").alias("c")).where("c > 1").select("k", F.col("f.doc_id").alias("fdoc"), F.col("f.pos").alias("fpos"), F.col("f.before").alias("fbefore"), F.col("f.after").alias("fafter"))
-    goes_on = F.expr(f"words >= {MIN_RUN_WORDS} or before = fbefore or after = fafter")
-    met = places.alias("p").join(first.alias("q"), (F.col("p.k") == F.col("q.k")) & (F.col("fdoc") < F.col("doc_id")) & goes_on)
-    across = met.select("doc_id", "fdoc", (F.col("pos") - F.col("fpos")).alias("d")).distinct()
-    within = placed.select("doc_id", F.col("doc_id").alias("fdoc"), F.explode("own").alias("d"))
-    shifts = materialize(across.union(within), "shifts")
-    other = hashed.select(F.col("doc_id").alias("fdoc"), F.col("h").alias("fh"), F.col("n").alias("fn"))
-    both = shifts.join(hashed, "doc_id").join(other, "fdoc")
-    runs = both.select("doc_id", "th", F.expr(_RUNS).alias("runs")).where("size(runs) > 0")
-    out = runs.select("doc_id", "th", F.explode("runs").alias("run")).distinct().groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))
-    out = materialize(out, "runs")
-    discard(hashed, placed, shifts)
+    plain = split.select("doc_id", "th", F.expr(_PLAIN).alias("plain")).withColumn("real", F.expr("filter(plain, x -> x <> '')"))
+    hashed = plain.select("doc_id", "th", F.size("plain").alias("size"), F.size("real").alias("n"), F.expr(_AT).alias("at"), F.expr(_HASHES).alias("h"), F.expr(_WORDS).alias("w"))
+    placed = hashed.withColumn("e", F.expr(_ENDS)).select("doc_id", "th", F.array_sort(F.expr(_LEAST_RUNS)).alias("s"))
+    placed = materialize(placed.select("doc_id", "th", F.expr(_joined(_AGAIN)).alias("again"), F.expr(_FIRSTS).alias("firsts")), "places")
+    places = placed.select("doc_id", "th", F.explode("firsts").alias("x")).select("doc_id", "th", "x.k", "x.a", "x.b")
+    first = places.groupBy("k").agg(F.min("doc_id").alias("fdoc"), F.max("doc_id").alias("last")).where("fdoc < last").select("k", "fdoc")
+    across = places.join(first, "k").where("fdoc < doc_id").select("doc_id", "th", "a", "b")
+    within = placed.select("doc_id", "th", F.explode("again").alias("x")).select("doc_id", "th", "x.a", "x.b")
+    found = across.union(within).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("s"))
+    out = materialize(found.select("doc_id", "th", F.expr(_joined("s")).alias("runs")), "runs")
+    discard(placed)
     return out
 
 

@@ -265,6 +265,38 @@ def test_line_dedup_cuts_later_passages_alone(spark):
         assert len(set(w) - set(got[i].text.split(" "))) <= 3
 
 
+def test_passage_whose_lines_stand_alone_earlier_is_cut(spark):
+    """Each fingerprint of the passage is met first in another text, alone or in a piece too short to count."""
+    rng = random.Random(31)
+    passage = lines_of(prose(rng, 60))
+    text = lambda at, part: prose(random.Random(1000 + at), 40) + " " + "".join(part).strip() + " " + prose(random.Random(2000 + at), 40)
+    rows = [(i, text(i, passage[i : i + 2])) for i in range(len(passage) - 1)]
+    rows += [(50, text(50, passage)), (51, passage[3].strip() + " " + text(51, passage))]
+    got = {r.doc_id: r for r in lines.drop_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].text == t for i, t in rows[:-1])
+    assert got[51].text == passage[3].strip() + " " + text(51, []).replace("  ", " ")
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(32)
+    pool = [" ".join(rng.choice(VOCAB) for _ in range(rng.choice([1, 2, 5, 9, 14, 20, 31]))) for _ in range(25)]
+    rows = [(i, [pool[(j + k) % 25] for j in rng.sample(range(25), 3) for k in range(rng.randint(1, 6))]) for i in range(60)]
+    got = {r.doc_id: r for r in lines.drop_repeated_runs(spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string")).collect()}
+    for at, (i, x) in enumerate(rows):
+        cut = set()
+        for other in range(at + 1):
+            y = rows[other][1]
+            for d in range(-len(x), len(y)) if other < at else range(-len(x), 0):
+                a = 0
+                for b in range(len(x) + 1):
+                    if b == len(x) or not 0 <= b + d < len(y) or x[b] != y[b + d]:
+                        if sum(len(z.split()) for z in x[a:b]) >= lines.MIN_RUN_WORDS:
+                            cut |= set(range(a, b))
+                        a = b + 1
+        assert got[i].lines_removed == len(cut)
+        assert got[i].text.split() == " ".join(z for j, z in enumerate(x) if j not in cut).split()
+
+
 def test_ordinal_fit_recovers_order_and_held_out_accuracy(spark):
     rng = random.Random(6)
     rows, labels = [], []
