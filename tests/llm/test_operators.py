@@ -297,6 +297,15 @@ def test_line_dedup_against_brute_force(spark):
         assert got[i].text.split() == " ".join(z for j, z in enumerate(x) if j not in cut).split()
 
 
+def test_paragraphs_parted_by_blank_lines_are_cut(spark):
+    """Many passages of four short paragraphs: none may hang on which hashes are the smaller ones."""
+    rng = random.Random(33)
+    passages = ["\n\n".join(" ".join(rng.choice(VOCAB) for _ in range(13)) for _ in range(4)) for _ in range(300)]
+    rows = [(i + 1000 * k, f"{k} head {i}\n\n{x}\n\n{k} tail {i}") for i, x in enumerate(passages) for k in range(2)]
+    got = {r.doc_id: r.text for r in lines.drop_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == t if i < 1000 else got[i] == f"1 head {i - 1000}\n\n1 tail {i - 1000}" for i, t in rows)
+
+
 def test_ordinal_fit_recovers_order_and_held_out_accuracy(spark):
     rng = random.Random(6)
     rows, labels = [], []
