@@ -22,27 +22,35 @@ ROLES = set("navigation banner contentinfo complementary search form dialog aler
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SPACE = re.compile(r"[ \t\n\r\f\v  -     　]+")
 NAMES = re.compile(r"[a-z0-9]+")
+#: Names that start so tell of a wrapper; a name with "header" and other words names a page's head only with these.
+STATES = set("has with without no is not show hide".split())
+HEADS = set("header site global top".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LEAVES = HEADINGS | set("p li ul ol dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th caption hgroup header".split())
+SURE = (0,)
 SIGMA = 1.0
 
 
 class Blocks(HTMLParser):
-    """A text split at block-level tags: `blocks` holds (text, tags in it, main region or 0, dropped)."""
+    """A text split at block-level tags: `blocks` holds (text, tags in it, main region or 0, dropped, container, heading).
+
+    What drops a block is (0,), or the numbers of the elements around it whose names only may speak against it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, int, bool]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # tag, dropped from here, main region
+        self.blocks: list[tuple[str, int, int, tuple, int, bool]] = []
+        self.stack: list[tuple[str, tuple, int, int]] = []  # tag, what drops from here, main region, container
         self.parts: list[str] = []
-        self.tags, self.regions = 0, 0
+        self.tags, self.regions, self.opened = 0, 0, 0
 
-    def _state(self) -> tuple[bool, int]:
-        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
+    def _state(self) -> tuple[tuple, int]:
+        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else ((), 0)
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip(" ")
         dropped, region = self._state()
         if text:
-            self.blocks.append((text, self.tags, region, dropped))
+            self.blocks.append((text, self.tags, region, dropped, self.stack[-1][3] if self.stack else 0, any(t in HEADINGS for t, _, _, _ in self.stack[-2:])))
             self.tags = 0
         self.parts = []
 
@@ -54,33 +62,42 @@ class Blocks(HTMLParser):
             return
         while self.stack and self.stack[-1][0] in CLOSES.get(tag, ()):
             self.stack.pop()
-        dropped, region = self._state()
-        if tag in MAIN and not dropped:
+        dropped, region = before, _ = self._state()
+        self.opened += 1
+        if tag in MAIN and dropped != SURE:
             if not region:
                 self.regions += 1
                 region = self.regions
-            elif tag == "article" and any(t == "article" for t, _, _ in self.stack):
-                dropped = True  # an article inside an article is a comment
-        if not dropped:
-            dropped = tag in DROPPED and not (tag == "header" and region) or self._noise(tag, attrs)
-        if tag in INLINE and not dropped:
+            elif tag == "article" and any(t == "article" for t, _, _, _ in self.stack):
+                dropped = SURE  # an article inside an article is a comment
+        if dropped != SURE:
+            noise = 2 if tag in DROPPED and not (tag == "header" and region) else self._noise(tag, attrs, region)
+            dropped = SURE if noise == 2 else (*dropped, self.opened) if noise else dropped
+        if tag in INLINE and dropped == before:
             return  # inline tags are often left open
-        if dropped and not self._state()[0]:
+        if dropped != before:
             self.flush()
-        self.stack.append((tag, dropped, region))
+        container = self.stack[-1][3] if self.stack and tag in LEAVES else self.opened if tag not in LEAVES else 0
+        self.stack.append((tag, dropped, region, container))
 
     @staticmethod
-    def _noise(tag: str, attrs: list) -> bool:
+    def _noise(tag: str, attrs: list, region: int) -> int:
+        """2: not the article; 1: not the article unless it holds most of the text; 0: nothing speaks against it."""
         if tag in ("html", "body", "article", "main"):
-            return False
+            return 0
+        found = 0
         for name, value in attrs:
-            if value and name in ("class", "id") and not NOISE.isdisjoint(NAMES.findall(value.lower())):
-                return True
+            if value and name in ("class", "id"):
+                for words in map(NAMES.findall, value.lower().split()):
+                    noise = NOISE.intersection(words)
+                    if not noise or words[0] in STATES or noise == {"header"} and (region or not HEADS.issuperset(words)):
+                        continue
+                    found = max(found, 2 if NOISE.issuperset(words) else 1)
             if value and name == "role" and value.lower() in ROLES:
-                return True
+                return 2
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+                return 2
+        return found
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -123,9 +140,10 @@ def main_text(html: str | None) -> str:
 
     A block is a line of the method: the text between two block-level tags, and its ratio the characters of its text
     by the tags in and around it. Blocks whose smoothed ratio exceeds the threshold (half the mean over the blocks
-    that aren't dropped by their tags or names) form the content; the regions (article, main) that hold most of
-    it are taken whole, as nothing else of an article may be dropped. Without such a region the blocks between the
-    first and the last content block are taken.
+    that aren't dropped by their tags or names) form the content; the regions (article, main) are taken whole if they
+    hold most of it, as nothing else of an article may be dropped. Else the blocks between the first and the last
+    content block are taken, with those next to them in the same container and the headings before them. An element
+    that holds most of the page's text isn't dropped for a noise word that is only a part of its name.
     """
     if not html:
         return ""
@@ -133,21 +151,30 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = [b for b in parser.blocks if not b[3]]
+    held: dict[int, int] = {}
+    blocks = [b for b in parser.blocks if b[3] != SURE]
+    for b in blocks:
+        for k in b[3]:
+            held[k] = held.get(k, 0) + len(b[0])
+    most = sum(len(b[0]) for b in blocks) / 2
+    lines = [b for b in blocks if all(held[k] > most for k in b[3])]
     if not lines:
         return ""
-    ratio = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])
+    ratio = smoothed([len(b[0]) / max(1, b[1]) for b in lines])
     threshold = sum(ratio) / len(ratio) / 2
     content = [i for i, r in enumerate(ratio) if r >= threshold]
     weight: dict[int, int] = {}
     for i in content:
         weight[lines[i][2]] = weight.get(lines[i][2], 0) + len(lines[i][0])
-    inside = {r: n for r, n in weight.items() if r}
-    if inside and 4 * sum(inside.values()) >= weight.get(0, 0):
-        taken = [text for text, _, region, _ in lines if region]
-    else:
-        taken = [text for text, _, _, _ in lines[content[0] : content[-1] + 1]]
-    return " ".join(taken)
+    if sum(n for r, n in weight.items() if r) > weight.get(0, 0):
+        return " ".join(b[0] for b in lines if b[2])
+    first, last = content[0], content[-1]
+    inside = {b[4] for b in lines[first : last + 1]}
+    while first and (lines[first - 1][5] or lines[first - 1][4] in inside):
+        first -= 1
+    while last + 1 < len(lines) and lines[last + 1][4] in inside:
+        last += 1
+    return " ".join(b[0] for b in lines[first : last + 1])
 
 
 def _extract(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

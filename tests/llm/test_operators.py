@@ -231,6 +231,18 @@ def test_main_text_of_a_page():
     assert main_text(plain).startswith("many words") or "many words" in main_text(plain)
 
 
+def test_main_text_outside_the_planned_form():
+    long = "many words in a row " * 15
+    body = f"<h1>A heading</h1><p>Short lead.</p><p>{long}</p><p>{long}</p><p>{long}</p><p>The end.</p>"
+    whole = " ".join(["A heading", "Short lead.", *[long.strip()] * 3, "The end."])
+    assert main_text(f"<body><div><a href=a>a</a> <a href=b>b</a></div><div>{body}</div></body>") == whole
+    assert whole in main_text(f"<body><article><p>{'teaser text ' * 30}</p></article><div>{body}</div></body>")
+    for name in ("page has-sidebar", "with-toolbar", "sidebar-layout"):
+        assert main_text(f'<body><div class="{name}">{body}</div></body>') == whole
+    assert main_text(f'<article><div class="entry-header"><h1>Title</h1></div><p>{long}</p><div class="comments-list"><p>Nice.</p></div></article>') == "Title " + long.strip()
+    assert main_text(f'<body><div class="sidebar"><p>{long}</p></div><div><p>Text of it.</p></div></body>') == "Text of it."
+
+
 def lines_of(text):
     import re
 
