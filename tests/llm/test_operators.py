@@ -108,6 +108,11 @@ def test_pigeonhole_keys_meet_at_the_guaranteed_distance():
         assert keys[1] & keys[2]
 
 
+def test_few_true_links_lie_beyond_the_filter():
+    tail = sum(math.comb(64, k) * 0.2**k * 0.8 ** (64 - k) for k in range(minhash.FILTER + 1, 65))
+    assert tail < 4e-7
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(6, 16))
