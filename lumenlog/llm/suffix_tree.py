@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lumenlog.llm.common import batches, discard, encode_words, materialize, mix64, table, words_of
 
 DEPTH = 4  # symbols of the longest context
-LEAST = 1e-4  # so there are at most 1/LEAST symbols and DEPTH/LEAST contexts, however large the corpus is
+LEAST = 1e-4  # so there are at most 1/LEAST symbols and DEPTH/LEAST retained contexts: the tree does not grow with the corpus
 DIVERGENCE = 12.0  # nats that a context must save beyond the cost of naming the symbols that follow it
 OTHER, END, START = 0, 1, 2  # symbols; words follow
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -216,7 +216,9 @@ def _rows(items: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def learn(blocks: DataFrame, symbols: dict[str, int], depth: int = DEPTH, least: float = LEAST) -> SuffixTree:
     """The tree from the training texts of `blocks`: two passes, one for the frequent contexts and one to count them.
 
-    Only what is bounded by `depth/least` reaches the driver: the contexts frequent in some block, then in all."""
+    The contexts frequent in all blocks together are bounded by `depth/least`. The candidates, those frequent in some
+    block, are not: blocks of less than 1/least tokens send every context, and those of differing texts add up. Both
+    go through the driver, so a table of many small partitions can exceed its memory."""
     spark = blocks.sparkSession
     words = spark.sparkContext.broadcast(symbols)
 
