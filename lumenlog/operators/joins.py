@@ -116,11 +116,10 @@ def apply_blocklist(df: DataFrame, blocklist: DataFrame, app: str = "app_id", do
 
 
 def similar_pairs(names: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs of names of one type whose similarity reaches the threshold.
+    """Pairs of names of one type whose similarity reaches the threshold (of E05 the pairs of canonical names alone).
 
     Equal names: 1; one holding the other: 0.9; else the Jaccard similarity of their characters (without blanks).
-    Names are compared after folding equal ones; pairs must share a type and, where characters decide, have sets whose
-    sizes alone allow the threshold."""
+    Names are compared after folding equal ones; all pairs that share a type are compared."""
     one = names.select("entity_type", F.lower("name").alias("name")).distinct()
     chars = F.array_distinct(F.filter(F.split("name", ""), lambda c: (c != "") & (c != " ")))
     sets = one.withColumn("chars", chars).withColumn("m", F.size("chars"))
