@@ -187,34 +187,76 @@ def sequence_base(number: int) -> int:
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECE_NAMES = [c.split()[0] for c in PIECE_SCHEMA.split(", ")]
+TAILS = 512  # shard tails packed together
+TAIL_BASE = 1 << 61  # of the sequence ids of those
 
 
-def _piece_rows(shards: Iterator, pack) -> Iterator[pa.RecordBatch]:
+def _checksum(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def _with_ids(rows: list[tuple], ids: list[bytes | None]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in PIECE_NAMES]
+    return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(ids, pa.binary())], [*PIECE_NAMES, "ids"])
+
+
+def _piece_rows(shards: Iterator, pack, length: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of each shard; those of sequences that are not full, its tail of less than `length` ids, have their ids with them."""
     for number, docs, ids, bounds in shards:
         sizes, base = np.diff(bounds), sequence_base(number)
-        rows = []
+        rows, kept = [], []
         for s, pieces in enumerate(pack(sizes)):
+            full, offset = s < int(sizes.sum()) // length, 0
+            for d, start, n in pieces:
+                piece = ids[int(bounds[d]) + start : int(bounds[d]) + start + n]
+                rows.append((docs[d], start, n, _checksum(piece), int(sizes[d]), base + s, offset))
+                kept.append(None if full else piece.astype("<u4").tobytes())
+                offset += n
+        yield _with_ids(rows, kept)
+
+
+def _pack_tails(pack):
+    """The tails of a group of shards as one packing problem."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        held = [np.frombuffer(x, "<u4") for x in rows.column("ids").to_pylist()]
+        docs, starts, whole = (rows.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens"))
+        out = []
+        for s, pieces in enumerate(pack(np.array([len(x) for x in held], np.int64))):
             offset = 0
             for d, start, n in pieces:
-                a = int(bounds[d]) + start
-                rows.append((docs[d], start, n, zlib.crc32(ids[a : a + n].astype("<u4").tobytes()), int(sizes[d]), base + s, offset))
+                out.append((docs[d], starts[d] + start, n, _checksum(held[d][start : start + n]), whole[d], TAIL_BASE + (key[0].as_py() << 20) + s, offset))
                 offset += n
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], PIECE_NAMES)
+        return pa.Table.from_batches([_with_ids(out, [None] * len(out))]).drop_columns(["ids"])
+
+    return run
 
 
 def pack_balanced(docs: DataFrame, length: int = LENGTH, path: str | None = None, linear: float = LINEAR, quadratic: float = QUADRATIC) -> DataFrame:
     """One row per piece of `docs(doc_id, text)`: `doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`.
 
     A document's ids end with id 1; a null text is empty and has that id alone. Long documents are cut. Each read
-    partition packs itself in shards of about 4 million tokens, so nothing is shuffled and memory is bounded; within a
-    shard all sequences are full except for a tail of powers of two. Rows that repeat an id are packed each for
-    itself; an empty table gives no rows; further columns are ignored.
+    partition packs itself in shards of about 4 million tokens, so memory is bounded; within a shard all sequences
+    are full except for a tail of less than one sequence. Only those tails are shuffled, with their ids, to groups of
+    some hundred that are packed in the same way; each group leaves one tail, in powers of two. So the number of
+    sequences hardly depends on how the table is cut. Rows that repeat an id are packed each for itself; an empty
+    table gives no rows; further columns are ignored.
     """
 
-    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _piece_rows(_shards(items, path), lambda sizes: balance(sizes, length, linear, quadratic))
+    def pack(sizes: np.ndarray) -> list[list[tuple[int, int, int]]]:
+        return balance(sizes, length, linear, quadratic)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE_SCHEMA)
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _piece_rows(_shards(items, path), pack, length)
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pieces = materialize(source.mapInArrow(run, PIECE_SCHEMA + ", ids binary"), "pieces")
+    tails = pieces.where("ids is not null")
+    groups = -(-tails.select(F.shiftright("sequence_id", 20)).distinct().count() // TAILS)
+    group = F.pmod(F.xxhash64(F.shiftright("sequence_id", 20)), F.lit(max(1, groups))).alias("group")
+    packed = tails.select(group, *PIECE_NAMES, "ids").groupBy("group").applyInArrow(_pack_tails(pack), PIECE_SCHEMA)
+    return pieces.where("ids is null").select(*PIECE_NAMES).union(packed)
 
 
 ROW_SCHEMA = "sequence_id long, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>, doc_tokens array<long>"

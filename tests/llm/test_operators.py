@@ -135,15 +135,81 @@ def test_quantisation_bound_is_rigorous():
     assert (np.abs(x @ x.T - approx) <= e[None, :] + e[:, None] * (1 + e[None, :])).all()
 
 
-def test_tokens_equal_those_of_the_whole_text():
+ODD_TEXTS = ["Hello, WORLD's  end…", "", None, "a\x00b \x00 c", "Ünïcödé\tÇa\r\n東京 123 4.5", "é́ ́x don't", "<|endoftext|> <|StartOfText|>",
+             "foo<|endoftext|>bar <|ENDOFTEXT|>", "  x y", "z" * 5000, "we'LL it's 'tis ''ve", "µg ß ªº x²y½ «quoted» naïve\xadsoft a\x85b \x1cq", "Å K ẞ Ÿ ſ İ", "a1b22c, d...e!?"]
+
+
+@pytest.mark.parametrize("special", [True, False])
+def test_tokens_equal_those_of_the_whole_text(special):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
-    texts = ["Hello, WORLD's  end…", "", None, "a\x00b \x00 c", "Ünïcödé\tÇa\r\n東京 123 4.5", "é́ ́x don't", "<|endoftext|> <|StartOfText|>", "  x y", "z" * 5000]
-    ids, bounds = tokens.WordTokenizer().encode(texts)
+    t.encode_special_tokens = not special
+    coder = tokens.WordTokenizer(special=special)
+    for _ in range(2):  # the second time all words are known
+        ids, bounds = coder.encode(ODD_TEXTS)
+        for i, x in enumerate(ODD_TEXTS):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 1]
+
+
+def test_tokens_of_every_character_below_256():
+    from tokenizers import Tokenizer
+
+    t, coder = Tokenizer.from_file(tokens.vocabulary_path()), tokens.WordTokenizer()
+    texts = [f"a{chr(i)}b {chr(i)} {chr(i)}{chr(i)}1" for i in range(256)]
+    ids, bounds = coder.encode(texts)
     for i, x in enumerate(texts):
-        assert ids[bounds[i] : bounds[i + 1]].tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 1]
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == [*t.encode(x, add_special_tokens=False).ids, 1]
+
+
+def test_tokens_after_words_were_forgotten(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 50)
+    rng, coder, fresh = random.Random(4), tokens.WordTokenizer(), tokens.WordTokenizer()
+    for _ in range(20):
+        text = prose(rng, 40)
+        assert coder.encode([text])[0].tolist() == [x for w in text.split() for x in fresh.encode([w], None)[0].tolist()] + [1]
+
+
+def test_query_pieces_have_the_ids_of_a_plain_call(spark, corpus):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.vocabulary_path())
+    rows = corpus + [(1000 + i, x) for i, x in enumerate(ODD_TEXTS)]
+    ids = {d: [*t.encode(x or "", add_special_tokens=False).ids, 1] for d, x in rows}
+    seen: dict = {}
+    for r in packing.pack_balanced(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+        seen.setdefault(r.doc_id, []).append((r.start, r.length))
+    assert {d: sum(n for _, n in p) for d, p in seen.items()} == {d: len(x) for d, x in ids.items()}
+
+
+def test_number_of_sequences_hardly_depends_on_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    found = []
+    for n in (1, 40):
+        rows = packing.pack_balanced(docs.repartition(n)).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+        assert all(r.n == r.end and r.n <= 2048 and r.n & (r.n - 1) == 0 for r in rows)
+        found.append((sum(r.n for r in rows), sum(r.n == 2048 for r in rows), len(rows)))
+    assert found[0][0] == found[1][0] and found[0][1] == found[1][1] and abs(found[0][2] - found[1][2]) <= 11
+
+
+def test_balance_matches_a_plain_scan():
+    sizes = np.random.default_rng(12).integers(1, 1500, 200)
+    pieces = sorted(((d, 0, n) for d, n in enumerate(sizes.tolist())), key=lambda p: (-p[2], p[0]))
+    full = int(sizes.sum()) // 2048
+    cost, room, want, over = [0.0] * full, [2048] * full, [[] for _ in range(full)], []
+    for p in pieces:
+        fits = [s for s in range(full) if room[s] >= p[2]]
+        if not fits:
+            over.append(p)
+            continue
+        s = min(fits, key=lambda s: (cost[s], s))
+        want[s].append(p)
+        room[s] -= p[2]
+        cost[s] += packing.LINEAR * p[2] + packing.QUADRATIC * p[2] ** 2
+    got = packing.balance(sizes)
+    whole = {(d, n) for d, _, n in pieces if (d, 0, n) not in over}
+    assert [[p for p in s if (p[0], p[2]) in whole] for s in got[:full]] == want
 
 
 @pytest.mark.parametrize("pack", [packing.balance, packing.best_fit])
