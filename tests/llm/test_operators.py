@@ -91,6 +91,23 @@ def test_mixed_groups_beyond_one_tile(spark, monkeypatch):
     assert got == classes(links, sets)
 
 
+def test_shared_ids_are_one_node(spark):
+    rng = random.Random(17)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(0, a), (1, a), (1, b), (2, b), (3, c), (3, d), (4, d), (5, c), (None, a), (6, "")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).where("doc_id is not null").collect())
+    assert got == [(0, 0, True), (1, 0, False), (1, 0, False), (2, 0, False), (3, 3, True), (3, 3, True), (4, 3, False), (5, 3, False), (6, 6, True)]
+
+
+def test_segments_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(minhash, "SEGMENT_BYTES", 800)
+    monkeypatch.setattr(minhash, "SEGMENT", 7)
+    x, y = np.arange(20), np.arange(20, 40)
+    parts = list(minhash._parts(x, y, np.full(40, 10)))
+    assert sorted(np.concatenate([p for p, _ in parts]).tolist()) == list(range(20))
+    assert all(len(p) <= 7 and (w <= 800 or len(p) == 1) for p, w in parts)
+
+
 def test_pigeonhole_keys_meet_at_the_guaranteed_distance():
     rng = np.random.default_rng(2)
     import pyarrow as pa
@@ -100,9 +117,9 @@ def test_pigeonhole_keys_meet_at_the_guaranteed_distance():
         b = a.copy()
         wrong = rng.choice(64, minhash.GUARANTEED, replace=False)
         b[wrong] ^= 1
-        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()])], ["rep", "sig"])
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()])], ["rep", "c", "sig"])
         keys = {1: set(), 2: set()}
-        for out in minhash._keys([batch]):
+        for out in minhash._keys()([batch]):
             for k, r in zip(out.column("key").to_pylist(), out.column("rep").to_pylist(), strict=True):
                 keys[r].add(k)
         assert keys[1] & keys[2]
