@@ -435,37 +435,107 @@ def test_no_labels_keep_everything(spark):
     assert all(r.accepted for r in quality.grade_documents(docs, model).collect())
 
 
+def plain_tree(streams, total, depth, least, alphabet):
+    """The tree in dictionaries: context -> (retained, parent, p of its pairs, weight of the shorter context)."""
+    counts: dict = {}
+    for s in streams:
+        for i in range(1, len(s)):
+            for d in range(min(depth, i) + 1):
+                counts.setdefault(tuple(s[i - d : i]), {}).setdefault(s[i], 0)
+                counts[tuple(s[i - d : i])][s[i]] += 1
+    often = {c: x for c, x in counts.items() if not c or sum(x.values()) >= least}
+    kept, model = set(), {}
+    for c in sorted(often, key=len):
+        n = sum(often[c].values())
+        pairs = {y: k for y, k in often[c].items() if k >= least / suffix_tree.PAIR_SHARE}
+        mass = len(often[c]) + n - sum(pairs.values())
+        up = model[c[1:]][0] if c else None
+        p = {y: (k + mass * (up[y] if c else 1 / alphabet)) / (n + len(often[c])) for y, k in pairs.items()}
+        model[c] = (p, mass / (n + len(often[c])))
+        if c:
+            above = sum(often[c[1:]].values())
+            before = {y: math.log(often[c[1:]][y] / above) for y in pairs}
+            if sum(k * (math.log(k / n) - before[y]) + min(before[y], 0) for y, k in pairs.items()) >= suffix_tree.DIVERGENCE:
+                kept |= {c[i:] for i in range(len(c))}
+    return {c: model[c] for c in model if not c or c in kept}
+
+
+def plain_score(model, s, i, depth, alphabet):
+    c = max((tuple(s[i - d : i]) for d in range(min(depth, i) + 1) if all(tuple(s[i - e : i]) in model for e in range(d + 1))), key=len)
+    lost = 0.0
+    while True:
+        p, escape = model[c]
+        if s[i] in p:
+            return lost + math.log10(p[s[i]])
+        lost += math.log10(escape)
+        if not c:
+            return lost - math.log10(alphabet)
+        c = c[1:]
+
+
 def test_suffix_tree_distributions_sum_to_one():
-    rng = np.random.default_rng(0)
-    s = suffix_tree.Stream(rng.integers(0, 12, 4000), np.full(40, 100), np.arange(12) % 6 + 3)
-    after = np.flatnonzero((s.symbols[:-1] == 3) & s.is_word[1:]) + 1
-    s.symbols[after] = 5  # what follows 3
-    found = np.unique(suffix_tree.frequent_contexts(s, 3, 0.002))
-    rows = [np.concatenate(x) for x in zip(*[(np.full(len(n), d), c, p, y, n) for d, c, p, y, n in suffix_tree.context_counts(s, found, 3)], strict=True)]
-    tree = suffix_tree.SuffixTree(*rows[:4], rows[4].astype(float), alphabet=8)
-    assert len(tree.states) > 1
-    for state in range(len(tree.states)):
-        total = 0.0
-        for symbol in [0, 1, *range(3, 9)]:
-            at, lost = state, 0.0
-            while True:
-                slot = np.searchsorted(tree.pairs, at * (1 << 21) + symbol)
-                if slot < len(tree.pairs) and tree.pairs[slot] == at * (1 << 21) + symbol:
-                    total += 10 ** (lost + tree.logs[slot])
-                    break
-                lost += tree.escape[at]
-                if at == tree.root:
-                    total += 10**lost / 8
-                    break
-                at = tree.parents[at]
-        assert total == pytest.approx(1, abs=1e-6)
+    rng = random.Random(0)
+    streams = [[2, *(rng.randint(3, 8) for _ in range(100)), 1] for _ in range(40)]
+    for s in streams:
+        for i in range(2, 101):
+            if s[i - 1] == 3:
+                s[i] = 5
+    model = plain_tree(streams, 4040, 3, 15, 8)
+    assert len(model) > 1
+    for c in model:
+        assert sum(10 ** plain_score(model, [*c, y], len(c), len(c), 8) for y in (0, 1, *range(3, 9))) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("parts", [1, 25])
+def test_scores_against_plain_python(spark, parts):
+    rng, least, depth = random.Random(6), 12, 3
+    common = prose(rng, 30)
+    rows = [(i, common + " " + prose(rng, 5) if i % 3 == 0 else " ".join(rng.choice(VOCAB[:40]) for _ in range(30)), i % 10 == 0) for i in range(150)]
+    got = {r.doc_id: r.score for r in suffix_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(parts), depth, least).collect()}
+    words: dict = {}
+    train = [t.lower().split() for _, t, h in rows if not h]
+    for t in train:
+        for w in t:
+            words[w] = words.get(w, 0) + 1
+    total, ends = sum(words.values()) + len(train), len(train)
+    often = sorted(w for w, c in words.items() if c >= least)
+    symbol = {w: i + 3 for i, w in enumerate(often)}
+    coded = lambda t: [2, *(symbol.get(w, 0) for w in t), 1]
+    model = plain_tree([coded(t) for t in train], total, depth, least, len(often) + 2)
+    assert any(len(c) > 1 for c in model)
+    once, twice = (sum(c == k for c in words.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice)
+    share = 1 - sum(words[w] for w in often) / total - ends / total + discount * len(often) / total
+    for i, t, _ in rows:
+        t = t.lower().split()
+        s, want = coded(t), 0.0
+        for j in range(1, len(s)):
+            want += plain_score(model, s, j, depth, len(often) + 2)
+            if s[j] == 0:
+                c = words.get(t[j - 1], 0)
+                want += math.log10((c - discount if c else discount * len(words)) / total) - math.log10(share)
+        assert got[i] == pytest.approx(want)
+
+
+def test_gathered_contexts_do_not_depend_on_partitions(spark, sf, monkeypatch):
+    seen = []
+    whole = suffix_tree.SuffixTree.__init__
+
+    def spy(self, depth, context, *rest, **named):
+        seen.append((len(context), len(rest[3])))
+        whole(self, depth, context, *rest, **named)
+
+    monkeypatch.setattr(suffix_tree.SuffixTree, "__init__", spy)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.lit(False).alias("held_out"))
+    n = [r.train_tokens for parts in (1, 50) for r in [suffix_tree.score_texts(docs.repartition(parts)).first()]][0]
+    assert seen[0] == seen[1] and seen[0][0] <= 1 + 4 * 2 * math.sqrt(n)
 
 
 def test_scoring_base_by_hand_and_beats_it(spark):
     rng = random.Random(2)
     common = prose(rng, 40)
     rows = [(i, common if i % 3 == 0 else prose(rng, 50), i % 10 == 0) for i in range(200)] + [(900, None, True), (901, "unseenword", True)]
-    got = {r.doc_id: r for r in suffix_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), least=1e-3).collect()}
+    got = {r.doc_id: r for r in suffix_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), least=9).collect()}
     counts: dict = {}
     for _, t, h in rows:
         if not h:
