@@ -10,10 +10,17 @@ from lumenlog.llm.common import materialize, table, word_count
 CAP = 3.0
 BROADCAST_SOURCES = 100_000
 OWN = ["size", "source_size", "target", "copies", "taken"]
+STEPS = 128  # seeds that are tried for each source
+#: The seed of a source: its draws are turned by each 128th of the circle, and the turn whose copies come nearest to the
+#: target is taken. `cells` holds the words drawn in each 128th; cum[i] those before the i-th, going round twice.
+_START = f"""transform(array(named_struct('w', transform(sequence(0, {2 * STEPS - 1}), i -> coalesce(try_element_at(cells, i % {STEPS}), 0L)))),
+  q -> transform(array(transform(sequence(0, {2 * STEPS}), i -> aggregate(slice(q.w, 1, i), 0L, (a, x) -> a + x))),
+    cum -> array_min(transform(sequence(0, {STEPS - 1}), s -> named_struct(
+      'd', abs(cast(cum[s + whole] - cum[s] as double) + (x - whole) * cast(q.w[s + whole] as double) - x / {STEPS}.0D * source_size), 's', s))).s)[0])[0]"""
 
 
 def source_targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
-    """Per source of `sizes(source, source_size)`: weight, target and rate.
+    """Per source of `sizes(source, source_size)`: weight, target and rate; other columns stay.
 
     Weights run 1, 2, 3 and again over the sources by code point, null last. All targets sum to the total size,
     except that a target stops at `cap` times its source's size and the excess is shared anew by weight until none
@@ -32,7 +39,8 @@ def source_targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
     level = F.max("level").over(everything)  # it rises with every source rightly stopped and falls after those
     out = stepped.withColumn("target", F.least(F.col("ceiling"), level * F.col("weight")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return out.select("source", F.col("source_size").cast("long").alias("source_size"), "weight", "target", rate.alias("rate"))
+    more = [c for c in sizes.columns if c not in ("source", "source_size")]
+    return out.select("source", F.col("source_size").cast("long").alias("source_size"), "weight", "target", rate.alias("rate"), *more)
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -44,21 +52,32 @@ def mix_plan(docs: DataFrame, cap: float = CAP, seed: str = "mix", payload: list
     """`docs` with `size, source_size, target, copies, taken`: the copies of each document are floor(rate) plus one
     Bernoulli copy, seeded by a hash of its id (and text hash), with probability equal to the fraction.
 
+    The draw of a document is a point on a circle and its copy is taken if that lies within `fraction` of the circle
+    from where its source starts. Of 128 starts, the seeds of a source, that one is taken whose copies come nearest to
+    its target: one aggregation to 128 numbers a source tells. So takings miss targets by about a 128th of the
+    source's words or by half a very long document, not by the chance of all draws.
+
     Null text has size 0; a null source is a source of its own; rows that share id and text get the same copies;
     no rows give no rows. A source's rate is target/size and never above `cap`, so neither are the copies.
     Existing columns with these names are replaced. `payload` names the columns to keep besides those (all by
-    default). The targets are one row a source; they are broadcast only after counting them, else joined by a shuffle.
+    default); where it names none but the id, sizes and draws are written once instead of reading the texts twice.
+    The targets are one row a source; they are broadcast only after counting them, else joined by a shuffle.
     """
     names = [c for c in (docs.columns if payload is None else payload) if c not in OWN]
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit(""))))
     row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None)
-    base = docs.select("source", word_count("text").alias("size"), uniform(key, seed).alias("u"), row.alias("row"))
-    sizes = docs.select("source", word_count("text").alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(sizes, cap).select(F.col("source").alias("of"), "source_size", "target", "rate"), "targets")
+    base = docs.select("source", word_count("text").alias("size"), (uniform(key, seed) * STEPS).alias("u"), row.alias("row"))
+    if names == ["doc_id"]:
+        base = materialize(base, "draws")
+    cells = base.groupBy("source", F.floor("u").cast("int").alias("cell")).agg(F.sum("size").alias("w"))
+    sizes = cells.groupBy("source").agg(F.sum("w").alias("source_size"), F.map_from_entries(F.collect_list(F.struct("cell", "w"))).alias("cells"))
+    rated = source_targets(sizes, cap).withColumn("x", (F.col("rate") - F.floor("rate")) * STEPS).withColumn("whole", F.floor("x").cast("int"))
+    targets = materialize(rated.select(F.col("source").alias("of"), "source_size", "target", "rate", "x", F.expr(_START).alias("start")), "targets")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     joined = base.join(targets, F.col("source").eqNullSafe(F.col("of")), "left")
-    copies = (F.floor("rate") + F.when(F.col("u") < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
+    turned = F.when(F.col("u") >= F.col("start"), F.col("u") - F.col("start")).otherwise(F.col("u") - F.col("start") + STEPS)
+    copies = (F.floor("rate") + F.when(turned < F.col("x"), 1).otherwise(0)).cast("long")
     return joined.select(*[F.col("row").getField(c).alias(c) for c in names], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
@@ -93,13 +112,31 @@ WITH d AS (
                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
 ), t AS (
   SELECT source, ss, least(ceiling, max(level) OVER () * weight) AS target FROM l
+), k AS MATERIALIZED (
+  SELECT d.doc_id, d.size, d.source,
+         CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || md5(coalesce(d.text, ''))), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 * 128 AS u
+  FROM d
+), r AS (
+  SELECT *, (rate - floor(rate)) * 128 AS x, CAST(floor((rate - floor(rate)) * 128) AS BIGINT) AS whole
+  FROM (SELECT *, CASE WHEN ss > 0 THEN target / ss ELSE 0.0 END AS rate FROM t)
+), cells AS (
+  SELECT source, CAST(floor(u) AS BIGINT) AS cell, sum(size) AS w FROM k GROUP BY 1, 2
+), grid AS MATERIALIZED (
+  SELECT g.source, g.i, coalesce(c.w, 0) AS w,
+         coalesce(sum(coalesce(c.w, 0)) OVER (PARTITION BY g.source ORDER BY g.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum
+  FROM (SELECT source, unnest(range(256)) AS i FROM t) g LEFT JOIN cells c ON c.source IS NOT DISTINCT FROM g.source AND c.cell = g.i % 128
+), tries AS (
+  SELECT r.source, a.i AS s, abs(CAST(b.cum - a.cum AS DOUBLE) + (r.x - r.whole) * CAST(b.w AS DOUBLE) - r.x / 128.0 * r.ss) AS d
+  FROM r JOIN grid a ON a.source IS NOT DISTINCT FROM r.source AND a.i < 128
+         JOIN grid b ON b.source IS NOT DISTINCT FROM r.source AND b.i = a.i + r.whole
+), seeds AS (
+  SELECT source, arg_min(s, (d, s)) AS start FROM tries GROUP BY source
 ), j AS (
-  SELECT d.doc_id, d.size, CAST(t.ss AS BIGINT) AS source_size, t.target,
-         CASE WHEN t.ss > 0 THEN t.target / t.ss ELSE 0.0 END AS rate,
-         CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || md5(coalesce(d.text, ''))), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT k.doc_id, k.size, CAST(r.ss AS BIGINT) AS source_size, r.target, r.rate, r.x,
+         CASE WHEN k.u >= o.start THEN k.u - o.start ELSE k.u - o.start + 128 END AS v
+  FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source JOIN seeds o ON k.source IS NOT DISTINCT FROM o.source
 )
 SELECT doc_id, size, source_size, target,
-       CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+       CAST((floor(rate) + CASE WHEN v < x THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM j
 """

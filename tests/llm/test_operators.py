@@ -552,6 +552,12 @@ def test_scoring_base_by_hand_and_beats_it(spark):
     assert all(r.score <= 1e-9 for r in got.values())
 
 
+def test_takings_come_near_their_targets(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    got = mixing.mix_plan(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("longest"), F.max("source_size").alias("size")).collect()
+    assert len(got) > 10 and all(abs(r.taken - r.target) <= max(0.05 * r.target, r.size / 128, 0.5 * r.longest) for r in got)
+
+
 def test_mixing_targets_and_copies(spark):
     rows = [(i, "w " * (i % 7 + 1), None if i % 11 == 0 else f"s{i % 5}" if i % 5 else "tiny" if i == 5 else "big") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
