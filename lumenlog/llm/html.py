@@ -29,19 +29,25 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LEAVES = HEADINGS | set("p li ul ol dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th caption hgroup header".split())
 SURE = (0,)
 SIGMA = 1.0
+OUTSIDE = 0.25  # weight of a block outside of article and main, where there are such
+ALIKE = math.log(3)  # ratios within this factor are one cluster
+REGION = 0.9  # of the content in the element that is taken
 
 
 class Blocks(HTMLParser):
-    """A text split at block-level tags: `blocks` holds (text, tags in it, main region or 0, dropped, container, heading).
+    """A text split at block-level tags: `blocks` holds (text, tags in it, main region or 0, dropped, container, heading, share of links).
 
     What drops a block is (0,), or the numbers of the elements around it whose names only may speak against it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, int, tuple, int, bool]] = []
+        self.blocks: list[tuple[str, int, int, tuple, int, bool, float]] = []
         self.stack: list[tuple[str, tuple, int, int]] = []  # tag, what drops from here, main region, container
         self.parts: list[str] = []
         self.tags, self.regions, self.opened = 0, 0, 0
+        self.in_link, self.linked = False, 0
+        self.around: dict[int, int] = {}  # container of each container, 0: the page
+        self.bodies: set[int] = {0}  # containers that are the page as a whole
 
     def _state(self) -> tuple[tuple, int]:
         return (self.stack[-1][1], self.stack[-1][2]) if self.stack else ((), 0)
@@ -50,9 +56,9 @@ class Blocks(HTMLParser):
         text = SPACE.sub(" ", "".join(self.parts)).strip(" ")
         dropped, region = self._state()
         if text:
-            self.blocks.append((text, self.tags, region, dropped, self.stack[-1][3] if self.stack else 0, any(t in HEADINGS for t, _, _, _ in self.stack[-2:])))
+            self.blocks.append((text, self.tags, region, dropped, self.stack[-1][3] if self.stack else 0, any(t in HEADINGS for t, _, _, _ in self.stack[-2:]), min(1.0, self.linked / len(text))))
             self.tags = 0
-        self.parts = []
+        self.parts, self.in_link, self.linked = [], False, 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -60,6 +66,7 @@ class Blocks(HTMLParser):
             self.flush()
         if tag in VOID:
             return
+        self.in_link = self.in_link or tag == "a"
         while self.stack and self.stack[-1][0] in CLOSES.get(tag, ()):
             self.stack.pop()
         dropped, region = before, _ = self._state()
@@ -78,6 +85,10 @@ class Blocks(HTMLParser):
         if dropped != before:
             self.flush()
         container = self.stack[-1][3] if self.stack and tag in LEAVES else self.opened if tag not in LEAVES else 0
+        if container == self.opened:
+            self.around[container] = self.stack[-1][3] if self.stack else 0
+            if tag in ("html", "body"):
+                self.bodies.add(container)
         self.stack.append((tag, dropped, region, container))
 
     @staticmethod
@@ -92,7 +103,10 @@ class Blocks(HTMLParser):
                     noise = NOISE.intersection(words)
                     if not noise or words[0] in STATES or noise == {"header"} and (region or not HEADS.issuperset(words)):
                         continue
-                    found = max(found, 2 if NOISE.issuperset(words) else 1)
+                    if NOISE.issuperset(words):
+                        found = 2
+                    elif tag not in LEAVES or len(words) < 3:  # a phrase as the name of a paragraph tells its content
+                        found = max(found, 1)
             if value and name == "role" and value.lower() in ROLES:
                 return 2
             if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -106,6 +120,8 @@ class Blocks(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if tag == "a":
+            self.in_link = False
         if tag not in INLINE:
             self.flush()
         for i in range(len(self.stack) - 1, -1, -1):
@@ -117,6 +133,8 @@ class Blocks(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if self.in_link:
+            self.linked += len(data)
 
 
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
@@ -135,15 +153,34 @@ def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def main_text(html: str | None) -> str:
+def two_clusters(values: list[float]) -> float:
+    """The value that parts the low cluster from the high one (two means); the least value if all are much alike."""
+    low, high = min(values), max(values)
+    if high - low < ALIKE:
+        return low
+    for _ in range(32):
+        middle = (low + high) / 2
+        below, above = [v for v in values if v < middle], [v for v in values if v >= middle]
+        means = sum(below) / len(below), sum(above) / len(above)
+        if means == (low, high):
+            break
+        low, high = means
+    return (low + high) / 2
+
+
+def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The article of a page, its blocks joined by one space; empty if there is none.
 
-    A block is a line of the method: the text between two block-level tags, and its ratio the characters of its text
-    by the tags in and around it. Blocks whose smoothed ratio exceeds the threshold (half the mean over the blocks
-    that aren't dropped by their tags or names) form the content; the regions (article, main) are taken whole if they
-    hold most of it, as nothing else of an article may be dropped. Else the blocks between the first and the last
-    content block are taken, with those next to them in the same container and the headings before them. An element
-    that holds most of the page's text isn't dropped for a noise word that is only a part of its name.
+    1. A block is a line of the method: the text between two block-level tags. Those that tags or names tell to be no
+       part of an article are left out; an element that holds most of the page's text isn't, if the noise word is only
+       a part of its name.
+    2. The ratio of a block is the characters of its text by the tags in and before it, a quarter of that outside of
+       `article` and `main` where a page has them. Ratios are smoothed over neighbours (`sigma`), then lowered by the share
+       of links in the block's own text, and two clusters of their logarithms tell content from the rest.
+    3. The content region is the innermost element with nearly all of the content. It is taken whole, with
+       the content and headings next to it, as nothing else of an article may be dropped. Where that is the page itself, the
+       blocks from the first to the last of the content are taken, with the headings before them and those next to
+       them in a container of theirs.
     """
     if not html:
         return ""
@@ -160,21 +197,41 @@ def main_text(html: str | None) -> str:
     lines = [b for b in blocks if all(held[k] > most for k in b[3])]
     if not lines:
         return ""
-    ratio = smoothed([len(b[0]) / max(1, b[1]) for b in lines])
-    threshold = sum(ratio) / len(ratio) / 2
-    content = [i for i, r in enumerate(ratio) if r >= threshold]
+    semantic = any(b[2] for b in lines)
+    ratio = smoothed([len(b[0]) / max(1, b[1]) * (OUTSIDE if semantic and not b[2] else 1) for b in lines], sigma)
+    score = [math.log1p(r * (1 - b[6])) for r, b in zip(ratio, lines, strict=True)]
+    threshold = two_clusters(score)
+    content = [i for i, r in enumerate(score) if r >= threshold]
+
+    def ancestors(container: int) -> Iterator[int]:
+        while container:
+            yield container
+            container = parser.around[container]
+
     weight: dict[int, int] = {}
     for i in content:
-        weight[lines[i][2]] = weight.get(lines[i][2], 0) + len(lines[i][0])
-    if sum(n for r, n in weight.items() if r) > weight.get(0, 0):
-        return " ".join(b[0] for b in lines if b[2])
+        for c in ancestors(lines[i][4]):
+            weight[c] = weight.get(c, 0) + len(lines[i][0])
+    enough = REGION * sum(len(lines[i][0]) for i in content)
+    region = max((c for c, n in weight.items() if n >= enough), default=0)  # inner elements are opened later
     first, last = content[0], content[-1]
-    inside = {b[4] for b in lines[first : last + 1]}
-    while first and (lines[first - 1][5] or lines[first - 1][4] in inside):
+    if region not in parser.bodies:
+        taken = [i for i, b in enumerate(lines) if region in ancestors(b[4])]
+        first, last = taken[0], taken[-1]
+        while last + 1 < len(lines) and score[last + 1] >= threshold:
+            last += 1
+            taken.append(last)
+    else:
+        inside = {b[4] for b in lines[first : last + 1]} - parser.bodies
+        while first and lines[first - 1][4] in inside:
+            first -= 1
+        while last + 1 < len(lines) and lines[last + 1][4] in inside:
+            last += 1
+        taken = list(range(first, last + 1))
+    while first and (lines[first - 1][5] or score[first - 1] >= threshold):
         first -= 1
-    while last + 1 < len(lines) and lines[last + 1][4] in inside:
-        last += 1
-    return " ".join(b[0] for b in lines[first : last + 1])
+        taken.insert(0, first)
+    return " ".join(lines[i][0] for i in taken)
 
 
 def _extract(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -435,6 +435,33 @@ def test_no_labels_keep_everything(spark):
     assert all(r.accepted for r in quality.grade_documents(docs, model).collect())
 
 
+LINKS = "<div>" + "".join(f'<span><a href="/{i}">Topic {i}</a></span>' for i in range(9)) + "</div>"
+LONG = "A sentence of the article that goes on with many words and says what there is to say. "
+
+
+def test_ratios_choose_the_content_where_no_name_tells():
+    """Menus and teasers in plain div elements: the clusters of the ratios alone part them from the article."""
+    body = f"<div><p>{LONG * 3}</p><p>{LONG * 2}</p></div>"
+    for page in (f"<body>{LINKS}{body}{LINKS}</body>", f"<body><div>{LINKS}</div><div>{LINKS}{body}</div></body>"):
+        assert main_text(page) == " ".join([(LONG * 3).strip(), (LONG * 2).strip()])
+
+
+def test_smoothing_keeps_short_blocks_beside_long_ones():
+    page = f"<body>{LINKS}<div>{LONG * 4}</div><div>Short end.</div>{LINKS}</body>"
+    assert main_text(page).endswith("say. Short end.") and not main_text(page, sigma=0.01).endswith("Short end.")
+
+
+def test_region_of_the_content_is_taken_whole_without_article():
+    page = f'<body><div class="layout has-sidebar"><div class="entry-header"><h1>Title</h1></div><div><p>{LONG * 3}</p><h2>Part</h2><p>Brief.</p><p>{LONG}</p><p class="reply-to-critics">{LONG}</p></div><div class="sidebar"><p>{LONG}</p></div></div></body>'
+    assert main_text(page) == f"Title {(LONG * 3).strip()} Part Brief. {LONG.strip()} {LONG.strip()}"
+
+
+def test_two_clusters():
+    from lumenlog.llm.html import two_clusters
+
+    assert 1.2 < two_clusters([1, 1.1, 1.2, 5, 5.5, 6]) < 5 and two_clusters([5, 5.2]) == 5
+
+
 def plain_tree(streams, total, depth, least, alphabet):
     """The tree in dictionaries: context -> (retained, parent, p of its pairs, weight of the shorter context)."""
     counts: dict = {}
