@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import materialize, table
+from lumenlog.llm.common import discard, materialize, table
 from lumenlog.llm.components import connected_components
 
 TILE = 1024
+SUPER = 8  # tiles of a super-tile: a vector is sent once for each super-tile of its label
 BROADCAST_GROUPS = 50_000
 
 
@@ -72,33 +73,47 @@ def _pack(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"label": pa.array([label], pa.int64()), "dim": pa.array([dim], pa.int32()), "tile": pa.array([tile], pa.int32()), "ids": [rows.column("vec_id").to_numpy().astype(np.int64).tobytes()], "raw": [flat.astype(np.float64 if flat.dtype == np.float64 else np.float32).tobytes()], "wide": [bool(flat.dtype == np.float64)]})
 
 
-def _compare(threshold: float):
-    def run(key: tuple, pair: pd.DataFrame) -> pd.DataFrame:
-        tiles = []
-        for r in pair.sort_values("tile").itertuples():
+def _compare(threshold: float, width: int):
+    """All pairs of tiles of two super-tiles (or of one with itself): counts and a star forest of the links of each."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        rows, out = list(group.sort_values("tile").itertuples()), []
+
+        def opened(r):
             v = np.frombuffer(r.raw, np.float64 if r.wide else np.float32).reshape(-1, r.dim).astype(np.float64)
-            tiles.append((np.frombuffer(r.ids, np.int64), v, quantise(v / np.sqrt((v * v).sum(axis=1))[:, None])))
-        (ia, va, qa), (ib, vb, qb), same = tiles[0], tiles[-1], len(tiles) == 1
-        i, j = tile_links(va, vb, qa, qb, threshold, same)
-        ids = ia if same else np.concatenate([ia, ib])
-        j = j if same else j + len(ia)
-        n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
-        root, has = local_roots(len(ids), i, j, ids), n > 0
-        return pd.DataFrame({"vec_id": ids[has], "n": n[has], "root": root[has]})
+            return np.frombuffer(r.ids, np.int64), v, quantise(v / np.sqrt((v * v).sum(axis=1))[:, None])
+
+        one = len({r.tile // width for r in rows}) == 1
+        for at, left in enumerate(rows):
+            ia, va, qa = opened(left)
+            for right in rows[at:]:
+                if not one and left.tile // width == right.tile // width:
+                    continue  # compared where the super-tile meets itself
+                same = left is right
+                ib, vb, qb = (ia, va, qa) if same else opened(right)
+                i, j = tile_links(va, vb, qa, qb, threshold, same)
+                ids = ia if same else np.concatenate([ia, ib])
+                j = j if same else j + len(ia)
+                n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+                root, has = local_roots(len(ids), i, j, ids), n > 0
+                out.append((ids[has], n[has], root[has]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        return pd.DataFrame(dict(zip(("vec_id", "n", "root"), columns, strict=True)))
 
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int = TILE) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int = TILE, width: int = SUPER) -> DataFrame:
     """Per row of `vectors(vec_id, embedding, label)`: `vec_id, n_links, component_id, kept`.
 
     Vectors are compared with all others of an equal, non-null label and equal width, by cosine in double precision.
     Null, zero or non-finite vectors link with nothing, nor do rows without an id (no component, kept). Rows sharing
     an id count as one node with the links of all of them. An empty table gives no rows.
 
-    Each label is dealt by a hash of the id into tiles of about `tile` vectors; each pair of tiles is one task-sized
-    group of two rows, so a label that holds most vectors only makes more groups. A pair of tiles returns counts and a
-    star forest of its links, never the links themselves.
+    Each label is dealt by a hash of the id into tiles of about `tile` vectors, `width` of them a super-tile. Each pair
+    of super-tiles of a label is one group of at most 2*width rows, compared tile by tile, so a label that holds most
+    vectors only makes more groups, and a vector is sent once for each super-tile of its label. A pair of tiles
+    returns counts and a star forest of its links, never the links themselves.
     """
     src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").alias("v"))
     finite = "label is not null and vec_id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(v, x -> x <> 0)"
@@ -107,15 +122,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int = TILE)
     sized = F.broadcast(counts) if counts.count() <= BROADCAST_GROUPS else counts
     dealt = good.join(sized, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
     tiles = dealt.select("label", "dim", "tile", "vec_id", "v").groupBy("label", "dim", "tile").applyInArrow(_pack, "label long, dim int, tile int, ids binary, raw binary, wide boolean")
-    tiles = materialize(tiles, "tiles").join(sized, ["label", "dim"])
-    partner = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    paired = tiles.withColumn("other", partner).select("dim", "tile", "ids", "raw", "wide", "label", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    linked = materialize(paired.groupBy("label", "dim", "i", "j").applyInPandas(_compare(threshold), "vec_id long, n long, root long"), "linked")
+    packed = materialize(tiles, "tiles")
+    tiles = packed.join(sized, ["label", "dim"])
+    block = F.floor(F.col("tile") / width).cast("int")
+    partner = F.explode(F.sequence(F.lit(0), F.floor((F.col("tiles") - 1) / width).cast("int")))
+    paired = tiles.withColumn("other", partner).select("dim", "tile", "ids", "raw", "wide", "label", F.least(block, "other").alias("i"), F.greatest(block, "other").alias("j"))
+    linked = materialize(paired.groupBy("label", "dim", "i", "j").applyInPandas(_compare(threshold, width), "vec_id long, n long, root long"), "linked")
     n = linked.groupBy("vec_id").agg(F.sum("n").alias("n"))
     found = connected_components(linked.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     out = src.select("vec_id").join(n, "vec_id", "left").join(found.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = materialize(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "vectors")
+    discard(counts, packed, linked, found)
+    return out
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

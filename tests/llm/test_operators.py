@@ -130,13 +130,14 @@ def test_few_true_links_lie_beyond_the_filter():
     assert tail < 4e-7
 
 
-def test_vectors_against_brute_force(spark):
+@pytest.mark.parametrize("width", [1, 2, 8])
+def test_vectors_against_brute_force(spark, width):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(6, 16))
     rows = [(i, [float(x) for x in np.float32(base[i % 6] + rng.normal(size=16) * rng.uniform(0, 0.4))], i % 3) for i in range(150)]
     rows += [(200, None, 1), (201, [0.0] * 16, 1), (202, [float("nan")] * 16, 1), (203, rows[0][1], None), (204, rows[0][1][:8], 0), (205, rows[0][1], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df, 0.93, tile=16).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df, 0.93, tile=16, width=width).collect()}
     ok = [(i, np.array(v), label) for i, v, label in rows if label is not None and v is not None and np.isfinite(v).all() and np.any(v)]
     links = [(a, b) for a, x, p in ok for b, y, q in ok if a < b and p == q and len(x) == len(y) and x @ y / math.sqrt((x @ x) * (y @ y)) >= 0.93]
     root = classes(links, [r[0] for r in rows])
