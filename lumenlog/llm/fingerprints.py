@@ -138,7 +138,9 @@ def fingerprint_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = rows.select("doc_id").where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts), reverse=True)
-    below = F.lit(0) if not cuts else F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda acc, c: acc + F.when(F.col("doc_id") < c, 1).otherwise(0))
+    steps = [1 << i for i in range(len(cuts).bit_length())][::-1]  # a binary search for the number of cuts above the id
+    above = lambda at, step: (at + step <= len(cuts)) & (F.get(F.lit(cuts), at + step - 1) > F.col("doc_id"))
+    below = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(above(at, step), at + step).otherwise(at)) if cuts else F.lit(0)
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(below)
     dealt = rows.withColumn("bucket", bucket.cast("int"))
     first = dealt.groupBy("bucket").agg(F.max(F.struct("doc_id", "text")).alias("x"))

@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out accuracy on small fixtures."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -287,6 +288,7 @@ def test_fingerprints_against_plain_python(spark, corpus):
         following = rows[(j + 1) % len(rows)][1]
         new = fingerprints.edited(t, following)
         r, own = got[i], fingerprints.chunk_set(t)
+        assert r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest() and r.near_edited == pytest.approx(fingerprints.likeness(own, fingerprints.chunk_set(new)))
         assert r.n_chars == len(t) and fingerprints.parse(r.fingerprint) == own and fingerprints.parse(r.edited_fingerprint) == fingerprints.chunk_set(new)
         assert r.near_next == pytest.approx(fingerprints.likeness(own, fingerprints.chunk_set(following)))
 
