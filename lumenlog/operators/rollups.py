@@ -180,8 +180,8 @@ def counts_by(df: DataFrame, col: str) -> DataFrame:
 
 
 def hourly_evidence(clipped: DataFrame, key: str = "user_id") -> DataFrame:
-    """Per key and hour the clipped seconds, spans and sorted distinct apps."""
-    return clipped.groupBy(key, "hour").agg(F.round(F.sum("seconds"), 3).alias("seconds"), F.count_distinct("event_id").alias("spans"), F.array_join(F.array_sort(F.collect_set("app_id")), ",").alias("apps"))
+    """Per key and hour the clipped seconds, spans (each once an hour) and sorted distinct apps."""
+    return clipped.groupBy(key, "hour").agg(F.round(F.sum("seconds"), 3).alias("seconds"), F.count("*").alias("spans"), F.array_join(F.array_sort(F.collect_set("app_id")), ",").alias("apps"))
 
 
 def open_loops_summary(loops: DataFrame, now: str) -> DataFrame:

@@ -19,9 +19,16 @@ ORACLES: dict[str, str] = {}
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local one only where none is set and all runs in this process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='lumenlog-')).rstrip('/')}/lumenlog-stream-{uuid.uuid4().hex}"
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (base or "file://" + tempfile.mkdtemp(prefix="lumenlog-")).rstrip("/")
+
+
+def _shared(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/lumenlog-stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
