@@ -15,7 +15,7 @@ from lumenlog.operators import spans as W
 from lumenlog.plans import base as B
 from lumenlog.plans import pipelines as L
 from lumenlog.plans.base import with_
-from lumenlog.plans.catalog2 import _CLIP, _SPANS, MIN, _query_vector, _rollup  # noqa: F401
+from lumenlog.plans.catalog2 import _CLIP, _Q, _TREE, MIN, _query_vector, _rollup, _top_cte, _tree
 from lumenlog.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -366,3 +366,98 @@ def s04(spark, d):
 def u02(spark, d):
     rows = B.links(spark, d).join(B.notes(spark, d).select("note_id", "start_ts"), "note_id").select("note_id", "entity_id", "strength", "start_ts")
     return U.order_by_all(rows, F.col("strength").desc(), F.col("start_ts").desc(), F.col("note_id"), F.col("entity_id")).limit(100)
+
+
+# --- prebuilt pipelines
+
+_NEAR = f"{_TREE}, near AS (SELECT vec_id, list_distance(e, q) AS dist FROM v, q ORDER BY dist, vec_id LIMIT {{n}})"
+
+
+def _both(n: int, days: int) -> str:
+    return (
+        _NEAR.format(n=n).replace("ORDER BY dist, label LIMIT 6", f"ORDER BY dist, label LIMIT {2 * days}")
+        + f""", r AS (SELECT label, vec_id, s, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS r FROM cs WHERE label IN (SELECT label FROM tp) QUALIFY r <= 3),
+m AS (SELECT label, avg(s) AS a FROM r GROUP BY 1), best AS (SELECT label FROM tp JOIN m USING (label) ORDER BY round(0.6 * tp.s + 0.4 * a, 6) DESC, label LIMIT {days}),
+u AS (SELECT vec_id, 0 AS source_rank FROM near UNION ALL SELECT vec_id, 1 FROM r WHERE label IN (SELECT label FROM best))
+SELECT vec_id, CAST(min(source_rank) AS INT) AS source_rank FROM u GROUP BY 1"""
+    )
+
+
+@query("p1_recall", _both(10, 3))
+def p1(spark, d):
+    return L.recall_by_both(B.read(spark, d, "embeddings"), *_tree(spark, d), _query_vector(spark, d), 10, 3).select("vec_id", "source_rank")
+
+
+@query("p2_recall_wide", _both(15, 7))
+def p2(spark, d):
+    return L.recall_by_both(B.read(spark, d, "embeddings"), *_tree(spark, d), _query_vector(spark, d), 15, 7).select("vec_id", "source_rank")
+
+
+def _tops(kind: str) -> str:
+    return f"SELECT '{kind}' AS part, key, round(value, 2) AS value FROM (SELECT key, round(sum(value), 4) AS value FROM agg WHERE key_type = '{kind}' AND day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY key ORDER BY value DESC, key LIMIT 5)"
+
+
+@query(
+    "p3_comparison_report",
+    with_("rollup")
+    + f""", {_Q}, near AS (SELECT vec_id, list_distance(e, q) AS dist FROM v, q ORDER BY dist, vec_id LIMIT 5)
+SELECT 'note' AS part, CAST(vec_id AS VARCHAR) AS key, round(dist, 5) AS value FROM near UNION ALL {_tops("app")} UNION ALL {_tops("category")}
+UNION ALL SELECT 'change:' || CASE WHEN value_b IS NULL THEN 'only_a' WHEN value_a IS NULL THEN 'only_b' ELSE 'both' END,
+  coalesce(x.key_type, y.key_type) || ':' || coalesce(x.key, y.key), round(coalesce(value_b, 0.0) - coalesce(value_a, 0.0), 2)
+FROM {_top_cte("2024-01-01", "2024-01-15", "value_a")} x FULL JOIN {_top_cte("2024-01-16", "2024-01-31", "value_b")} y
+  ON x.key_type = y.key_type AND x.key = y.key WHERE coalesce(x.key_type, y.key_type) IN ('app', 'category')""",
+)
+def p3(spark, d):
+    return L.comparison_report(B.read(spark, d, "embeddings"), _query_vector(spark, d), _rollup(spark, d), ("2024-01-01", "2024-01-15"), ("2024-01-16", "2024-01-31"))
+
+
+@query(
+    "p4_correlation_of_found",
+    with_("spans")
+    + f""", {_Q}, near AS (SELECT vec_id, list_distance(e, q) AS dist FROM v, q ORDER BY dist, vec_id LIMIT 20),
+n AS (SELECT app_id, lead(app_id) OVER (PARTITION BY user_id ORDER BY start_ts, event_id) AS after_app FROM spans)
+SELECT *, round(n / sum(n) OVER (PARTITION BY app_id), 4) AS share FROM (SELECT app_id, after_app, count(*) AS n FROM n
+  WHERE after_app IS NOT NULL AND app_id IN (SELECT app_id FROM spans WHERE event_id IN (SELECT vec_id FROM near)) GROUP BY 1, 2)""",
+)
+def p4(spark, d):
+    return L.correlation_of_found(B.read(spark, d, "embeddings"), _query_vector(spark, d), B.spans(spark, d), 20)
+
+
+@query(
+    "p5_timeline_report",
+    with_("rollup", "notes")
+    + """, s AS (SELECT key_type, key, sum(value) AS v FROM agg WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY 1, 2),
+dated AS (SELECT note_id, start_ts + INTERVAL 9800 DAY AS start_ts FROM notes),
+o AS (SELECT note_id, start_ts FROM dated WHERE start_ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' ORDER BY start_ts, note_id LIMIT 50)
+SELECT 'note' AS part, row_number() OVER (ORDER BY start_ts, note_id) AS rank, CAST(note_id AS VARCHAR) AS key, CAST(NULL AS DOUBLE) AS value FROM o
+UNION ALL SELECT * FROM (SELECT key_type, row_number() OVER (PARTITION BY key_type ORDER BY v DESC, key) AS r, key, round(v, 3) FROM s) WHERE r <= 3""",
+)
+def p5(spark, d):
+    dated = B.notes(spark, d).withColumn("start_ts", F.col("start_ts") + F.expr("interval 9800 days"))
+    return L.timeline_report(dated, _rollup(spark, d), "2024-01-05", "2024-01-20", 50)
+
+
+@query(
+    "p6_entity_report",
+    ORACLES["g08_entity_card"].replace("WITH ", with_("rollup") + ",\n", 1)
+    + """ UNION ALL SELECT 'time', row_number() OVER (ORDER BY key_type), key_type, value FROM (
+  SELECT key_type, round(sum(value), 4) AS value FROM agg JOIN entities ON entity_id = 50 AND lower(key) = lower(canonical_name) GROUP BY 1)""",
+)
+def p6(spark, d):
+    named = A.daily_rollup(B.activities(spark, d), None)
+    return L.entity_report(50, B.entities(spark, d), B.edges(spark, d), B.links(spark, d), B.notes(spark, d), named)
+
+
+@query(
+    "p7_most_report",
+    with_("notes", "links", "entities")
+    + f""", agg AS (SELECT CAST(start_ts AS DATE) AS day, canonical_name AS key, round(sum({MIN}), 4) AS value
+  FROM (SELECT DISTINCT note_id, entity_id FROM links) JOIN notes USING (note_id) JOIN entities USING (entity_id) WHERE entity_type = 'Brand#11' GROUP BY 1, 2),
+t AS (SELECT key AS top_key, round(sum(value), 4) AS value FROM agg GROUP BY key ORDER BY value DESC, top_key LIMIT 1),
+f AS (SELECT DISTINCT note_id, start_ts, top_key FROM links JOIN (SELECT note_id, start_ts FROM notes) USING (note_id) JOIN entities USING (entity_id) JOIN t ON lower(canonical_name) = lower(top_key)),
+l AS (SELECT * FROM f ORDER BY start_ts DESC, note_id LIMIT 10)
+SELECT t.top_key, t.value, l.note_id, l.start_ts FROM t LEFT JOIN l ON l.top_key = t.top_key""",
+)
+def p7(spark, d):
+    agg = R.entity_rollup(B.notes(spark, d), B.links(spark, d), B.entities(spark, d))
+    return L.most_report(agg, "entity:brand#11", B.entities(spark, d), B.links(spark, d), B.notes(spark, d))

@@ -126,3 +126,16 @@ def test_period_rewrite_is_idempotent(spark, tmp_path):
         S.overwrite_period(df, str(tmp_path / "t"), ["p"])
     S.overwrite_period(spark.createDataFrame([(2, "c")], "p int, v string"), str(tmp_path / "t"), ["p"])
     assert {(r.p, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(1, "a"), (2, "c")}
+
+
+def test_knn_join_on_ties_nulls_and_tiles(spark):
+    from lumenlog.operators.vectors import knn_join
+
+    rows = [(i, [float(i % 4), 1.0]) for i in range(60)] + [(60, None), (61, [float("nan"), 1.0]), (62, [1.0, 2.0, 3.0]), (63, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in knn_join(df.where("vec_id % 20 = 0"), df, 5, block=2, tile=7).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.distance))
+    want = {q: [(i + 1, v, 0.0) for i, v in enumerate(range(q % 4, 20, 4))] for q in (0, 20, 40)}
+    assert {q: sorted(x) for q, x in got.items()} == want
+    assert knn_join(df.limit(0), df, 5).count() == 0 and knn_join(df, df.limit(0), 5).count() == 0
