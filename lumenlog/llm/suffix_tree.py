@@ -160,13 +160,14 @@ class SuffixTree:
         rows = keep[slot]
         self.states, self.parents = pa.array(context[kept]), rename[up[kept]]
         self.root = int(np.flatnonzero(depth[kept] == 0)[0]) if len(kept) else -1
-        self.escape = np.log10(mass[kept] / (held[kept] + mass[kept]))
+        with np.errstate(invalid="ignore"):
+            self.escape = np.where(held[kept] + mass[kept] > 0, np.log10(mass[kept] / (held[kept] + mass[kept])), 0.0)
         self.pairs, self.logs = rename[slot[rows]] * _SYM + symbol[rows], np.log10(p[rows])
 
     def score(self, s: Stream) -> np.ndarray:
         """log10 of the probability of each token's symbol (words and ends, in order)."""
-        if self.root < 0:
-            return np.zeros(len(s.at))
+        if not len(self.pairs):  # nothing was learnt
+            return np.full(len(s.at), -np.log10(self.alphabet))
         state = np.full(len(s.symbols), self.root)
         live = None
 

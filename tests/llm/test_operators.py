@@ -547,6 +547,13 @@ def test_scores_against_plain_python(spark, parts):
         assert got[i] == pytest.approx(want)
 
 
+def test_scores_without_training_texts(spark):
+    rows = [(1, "a b c", True), (2, None, True)]
+    got = {r.doc_id: r for r in suffix_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    assert got[1].n_tokens == 4 and got[1].n_known == 0 and got[1].train_tokens == 0 and got[1].score < 0
+    assert got[2].n_tokens == 1 and math.isfinite(got[2].score)
+
+
 def test_gathered_contexts_do_not_depend_on_partitions(spark, sf, monkeypatch):
     seen = []
     whole = suffix_tree.SuffixTree.__init__
