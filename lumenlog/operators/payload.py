@@ -56,6 +56,7 @@ TITLE_KINDS = [
 ]
 ONLINE_KINDS = [(r"Google Docs$", "gdoc"), (r"Google Sheets$", "gsheet"), (r"Google Slides$", "gslides")]
 FILE_PATH = r"(/(?:Users|Volumes|private|tmp)[^\s\[\]]+|~/[^\s\[\]]+)"
+FILE_NAMES = [r"^([^-\[\]]+\.[a-zA-Z]{2,5})\s*[-\u2014]\s*", r"[-\u2014]\s*([^-\[\]]+\.[a-zA-Z]{2,5})$", r"^([^/\\\s\[\]]+\.[a-zA-Z]{2,5})$"]
 APP_SURE, TITLE_SURE, PATH_SURE, ONLINE_SURE, LEAST_SURE = 0.8, 0.7, 0.9, 0.85, 0.5
 
 
@@ -97,6 +98,12 @@ def tag_documents(df: DataFrame, app: str = "app_id", title: str = "window_title
     return df.withColumns({"document_type": F.coalesce(online, by_app, by_title), "document_path": F.when(path != "", path), "document_confidence": confidence, "is_document": confidence >= LEAST_SURE})
 
 
+def document_path(title: Column) -> Column:
+    """the path that a title holds, or else the file name before, after or without an app's name; null if none."""
+    found = [F.regexp_extract(title, p, 1) for p in (FILE_PATH, *FILE_NAMES)]
+    return F.coalesce(*[F.when(F.trim(x) != "", F.trim(x)) for x in found])
+
+
 def embedding_text(valid: DataFrame) -> DataFrame:
     """per note `(note_id, start_ts, summary, categories, activities, topics, entities, location)` the text to embed."""
     part = lambda label, c: F.when(F.length(c) > 0, F.concat(F.lit(label + ": "), c))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlog.operators import payload as P
 from lumenlog.operators import reports as R
 from lumenlog.operators import rollups as A
 from lumenlog.operators import sets as U
@@ -461,3 +462,17 @@ SELECT t.top_key, t.value, l.note_id, l.start_ts FROM t LEFT JOIN l ON l.top_key
 def p7(spark, d):
     agg = R.entity_rollup(B.notes(spark, d), B.links(spark, d), B.entities(spark, d))
     return L.most_report(agg, "entity:brand#11", B.entities(spark, d), B.links(spark, d), B.notes(spark, d))
+
+
+_TITLE = "CASE p_partkey % 5 WHEN 0 THEN p_name || '.txt - Editor' WHEN 1 THEN 'Viewer \u2014 ' || p_name || '.pdf' WHEN 2 THEN 'n' || p_partkey || '.md' WHEN 3 THEN '~/notes/n' || p_partkey || ' - x' ELSE p_name END"
+
+
+@query(
+    "f15_document_paths",
+    f"""WITH t AS (SELECT p_partkey, {_TITLE} AS title FROM part),
+f AS (SELECT p_partkey, trim(regexp_extract(title, '(/(?:Users|Volumes|private|tmp)[^\\s\\[\\]]+|~/[^\\s\\[\\]]+)', 1)) AS a, trim(regexp_extract(title, '^([^-\\[\\]]+\\.[a-zA-Z]{{2,5}})\\s*[-\u2014]\\s*', 1)) AS b,
+  trim(regexp_extract(title, '[-\u2014]\\s*([^-\\[\\]]+\\.[a-zA-Z]{{2,5}})$', 1)) AS c, trim(regexp_extract(title, '^([^/\\\\\\s\\[\\]]+\\.[a-zA-Z]{{2,5}})$', 1)) AS e FROM t)
+SELECT p_partkey, coalesce(nullif(a, ''), nullif(b, ''), nullif(c, ''), nullif(e, '')) AS path FROM f""",
+)
+def f15_paths(spark, d):
+    return B.read(spark, d, "part").select("p_partkey", P.document_path(F.expr(_TITLE)).alias("path"))

@@ -115,3 +115,12 @@ def st6(spark, d):
     e = _stream(spark, d)
     s = _stream(spark, d).where("event_id % 2 = 0").select("user_id", F.col("event_id").alias("span_id"), F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("interval 30 minutes")).alias("end_ts"))
     return drain(T.stream_frame_span_join(e.withColumnRenamed("event_id", "frame_id"), s))
+
+
+@query("st7_upsert_sink", "SELECT user_id, event_type AS app_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+def st7(spark, d):
+    path = _shared(spark)
+    rows = _stream(spark, d).select("user_id", "app_id", "event_id", "value")
+    write = T.upsert_sink(f"{path}/table", ["user_id", "app_id"], "event_id")
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return T.latest_version(spark, f"{path}/table")

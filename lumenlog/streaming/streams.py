@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -134,25 +134,43 @@ def stream_frame_span_join(frames: DataFrame, spans: DataFrame, bound: str = "1
     return f.join(s, cond).select("user_id", "frame_id", "span_id")
 
 
-def upsert_sink(path: str, key: list[str], order: str):
-    """ST7: a foreachBatch function that keeps the latest row per key; running a batch again changes nothing."""
+def table_versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions under a sink's folder, rising: those whose write has left its mark of success."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(folder)]
+    found = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
+    return sorted(v for v in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS")))
+
+
+def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """ST7: the table as its last complete batch left it; None before the first."""
+    there = table_versions(spark, path)
+    return spark.read.parquet(f"{path}/version={there[-1]}") if there else None
+
+
+def upsert_sink(path: str, key: list[str], order: str, keep: int = 2):
+    """ST7: a foreachBatch function that keeps the latest row per key.
+
+    Each batch writes a version of its own from the last complete one before it. A batch that stops halfway leaves the
+    table as it was, as readers take the last complete version, and running it again replaces its version by the same
+    rows. Of older versions the last `keep` stay."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         from lumenlog.sources.tables import upsert_latest
 
         spark = batch.sparkSession
-        new = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        try:
-            base = spark.read.parquet(f"{path}/current")
-        except Exception as e:  # the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            base = new.limit(0)
-        merged = upsert_latest(base.where(F.col("batch_id") != batch_id), new, key, [F.col(order)])
-        merged.write.mode("overwrite").parquet(f"{path}/next")
-        spark.read.parquet(f"{path}/next").write.mode("overwrite").parquet(f"{path}/current")
+        before = [v for v in table_versions(spark, path) if v < batch_id]
+        base = spark.read.parquet(f"{path}/version={before[-1]}") if before else batch.limit(0)
+        upsert_latest(base, batch, key, [F.col(order)]).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        for old in before[:-keep]:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
     return write
 
 
-__all__ = ["apply_blocklist", "stream_blocklist", "stream_drop_dups", "stream_frame_span_join", "stream_hourly", "stream_rates", "stream_sessions", "stream_spans", "upsert_sink"]
+__all__ = ["apply_blocklist", "latest_version", "stream_blocklist", "stream_drop_dups", "stream_frame_span_join", "stream_hourly", "stream_rates", "stream_sessions", "stream_spans", "table_versions", "upsert_sink"]

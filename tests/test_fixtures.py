@@ -139,3 +139,22 @@ def test_knn_join_on_ties_nulls_and_tiles(spark):
     want = {q: [(i + 1, v, 0.0) for i, v in enumerate(range(q % 4, 20, 4))] for q in (0, 20, 40)}
     assert {q: sorted(x) for q, x in got.items()} == want
     assert knn_join(df.limit(0), df, 5).count() == 0 and knn_join(df, df.limit(0), 5).count() == 0
+
+
+def test_upsert_sink_over_several_batches_and_a_half_written_one(spark, tmp_path):
+    from lumenlog.streaming.streams import latest_version, table_versions, upsert_sink
+
+    path = f"file://{tmp_path}/table"
+    assert latest_version(spark, path) is None
+    write = upsert_sink(path, ["k"], "t")
+    parts = [[(1, 1, "a"), (2, 1, "b")], [(1, 3, "c")], [(1, 2, "late"), (3, 1, "d")], [(2, 5, "e")]]
+    frames = [spark.createDataFrame(p, "k long, t long, v string") for p in parts]
+    for i, f in enumerate(frames):
+        write(f, i)
+        write(f, i)  # run again
+    assert sorted(tuple(r) for r in latest_version(spark, path).collect()) == [(1, 3, "c"), (2, 5, "e"), (3, 1, "d")]
+    assert table_versions(spark, path) == [1, 2, 3]
+    (tmp_path / "table" / "version=9").mkdir()  # a write that never ended
+    assert table_versions(spark, path)[-1] == 3
+    write(frames[0], 10)
+    assert sorted(tuple(r) for r in latest_version(spark, path).collect()) == [(1, 3, "c"), (2, 5, "e"), (3, 1, "d")]
