@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions.text import canon_edge_type
@@ -38,12 +38,19 @@ def build_edges(proposals: DataFrame, entities: DataFrame, base: DataFrame | Non
     return merge_edges(found if base is None else found.unionByName(base)), rows.where(missing).select("from_name", "to_name", "edge_type")
 
 
-def cooccurrence_edges(links: DataFrame, min_support: int = 1) -> DataFrame:
+def cooccurrence_edges(links: DataFrame, min_support: int = 1, tile: int = 256) -> DataFrame:
     """Pairs of entities that share notes, with the notes they share and a weight relative to the most.
 
-    Notes hold a bounded number of entities by construction, so the pairs of a note are few."""
-    one = links.select("note_id", "entity_id").distinct()
-    pairs = one.select("note_id", F.col("entity_id").alias("from_id")).join(one.select("note_id", F.col("entity_id").alias("to_id")), "note_id").where("from_id < to_id")
+    A note of more than `tile` entities is split in tiles, and each pair of tiles is joined under a key of its own, so
+    no task holds the square of a large note; smaller ones are one tile, sent once."""
+    one = links.select("note_id", "entity_id").where("note_id is not null and entity_id is not null").distinct()
+    tiles = F.ceil(F.count("*").over(Window.partitionBy("note_id")) / tile).cast("int")
+    dealt = one.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.hash("entity_id"), F.col("tiles")))
+    dealt = dealt.select("note_id", "entity_id", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    cells = dealt.select("note_id", "entity_id", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+    a = cells.select("note_id", "low", "high", F.col("entity_id").alias("from_id"), F.col("tile").alias("from_tile"))
+    b = cells.select("note_id", "low", "high", F.col("entity_id").alias("to_id"), F.col("tile").alias("to_tile"))
+    pairs = a.join(b, ["note_id", "low", "high"]).where("from_id < to_id and (low = high or from_tile <> to_tile)")
     counts = pairs.groupBy("from_id", "to_id").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
     top = counts.agg(F.max("support").alias("most"))
     return counts.join(top, F.lit(True)).select("from_id", "to_id", "support", F.round(F.col("support") / F.col("most"), 6).alias("weight"))
@@ -78,17 +85,56 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, min_weight: float
     return visited.where("hop > 0").select("entity_id", "hop", F.round("relevance", 6).alias("relevance")).orderBy(F.col("relevance").desc(), "hop", "entity_id").limit(n)
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """Cut off from its lineage, if the session has a checkpoint folder."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def paths(edges: DataFrame, a, b, max_hops: int = 3) -> DataFrame:
-    """Shortest paths from `a` to `b` without loops, of at most `max_hops` edges, both directions allowed."""
-    both = edges.select("from_id", "to_id").union(edges.select("to_id", "from_id")).distinct()
-    live = edges.sparkSession.range(1).select(F.array(F.lit(a)).alias("path"), F.lit(a).alias("at"))
-    found = live.where(F.col("at") == F.lit(b))
-    for _ in range(max_hops):
-        live = live.join(both, F.col("at") == F.col("from_id")).where(~F.array_contains("path", F.col("to_id"))).select(F.array_append("path", F.col("to_id")).alias("path"), F.col("to_id").alias("at"))
-        found = found.union(live.where(F.col("at") == F.lit(b)))
-        live = live.where(F.col("at") != F.lit(b))
-    least = found.agg(F.min(F.size("path")).alias("least"))
-    return found.join(least, F.size("path") == F.col("least")).select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
+    """All shortest paths from `a` to `b` of at most `max_hops` edges, both directions allowed.
+
+    Levels of nodes grow from both ends in turn, each node in one level only, until two levels meet; paths are then
+    spelt out from where they meet, level by level, so only nodes on shortest paths are ever part of one."""
+    both = edges.select("from_id", "to_id").union(edges.select("to_id", "from_id")).where("from_id <> to_id").distinct()
+    start = lambda x: edges.sparkSession.range(1).select(F.lit(x).alias("at"))
+    sides = [[start(a)], [start(b)]]
+    seen = [sides[0][0], sides[1][0]]
+    meet = start(a).where(F.lit(a) == F.lit(b))
+    hops = 0
+    while hops < max_hops and (hops > 0 or a != b):
+        side = hops % 2
+        step = sides[side][-1].join(both, F.col("at") == F.col("from_id")).select(F.col("to_id").alias("at")).distinct()
+        sides[side].append(_settled(step.join(seen[side], "at", "left_anti")))
+        seen[side] = seen[side].union(sides[side][-1])
+        meet = sides[0][-1].join(sides[1][-1], "at", "left_semi")
+        hops += 1
+        if not meet.isEmpty():
+            break
+    found = meet.select(F.array("at").alias("path"))
+    for level in reversed(sides[0][:-1]):
+        back = both.join(level, F.col("from_id") == F.col("at"), "left_semi")
+        found = found.join(back, F.col("path")[0] == F.col("to_id")).select(F.concat(F.array("from_id"), "path").alias("path"))
+    for level in reversed(sides[1][:-1]):
+        onward = both.join(level, F.col("to_id") == F.col("at"), "left_semi")
+        found = found.join(onward, F.element_at("path", -1) == F.col("from_id")).select(F.array_append("path", F.col("to_id")).alias("path"))
+    return found.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Connected components of `(a, b)`: `(node, component)`, named by the smallest node; joins and aggregations alone.
+
+    Each round takes the least label of the neighbours and then the label of the label, until nothing changes; each is
+    cut by a checkpoint if the session has a checkpoint folder."""
+    both = _settled(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    labels = both.groupBy("a").agg(F.least("a", F.min("b")).alias("label"))
+    while True:
+        near = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
+        step = labels.join(near, "a").select("a", F.least("label", "near").alias("label"), F.col("label").alias("before"))
+        onward = step.select(F.col("a").alias("label"), F.col("label").alias("onward"))
+        moved = _settled(step.join(onward, "label").select("a", F.least("label", "onward").alias("label"), "before"))
+        labels = moved.select("a", "label")
+        if moved.where("label <> before").isEmpty():
+            return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
 
 
 def entity_context(entity, edges: DataFrame, links: DataFrame, notes: DataFrame, n: int = 10) -> DataFrame:

@@ -43,7 +43,29 @@ def resolve(names: DataFrame, entities: DataFrame, mode: str = "exact") -> DataF
     if mode == "exact":
         rows = asked.join(known, F.col("asked") == F.col("known"), "left")
         return rows.groupBy("name").agg(F.min(F.when(F.col("entity_id").isNotNull(), F.struct("rank", "entity_id")))["entity_id"].alias("entity_id"))
-    return asked.join(known, F.col("known").contains(F.col("asked"))).select("name", "entity_id").distinct()
+    held = held_pairs(asked.select("asked"), known.select("known"))
+    return asked.join(held, "asked").join(known, "known").select("name", "entity_id").distinct()
+
+
+def _grams(text: Column, n: int) -> Column:
+    """All substrings of `n` characters; none of shorter texts."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+
+def held_pairs(parts: DataFrame, wholes: DataFrame, by: tuple[str, ...] = (), grams: int = 3) -> DataFrame:
+    """Distinct pairs `(*by, asked, known)` where the text `known` of `wholes` holds the text `asked` of `parts`.
+
+    Each asked text is looked up by the one of its `grams` character substrings (itself if it is shorter) that the
+    fewest known texts hold, so only these are tested. Null and empty texts are in no pair."""
+    one = wholes.where("known <> ''").select(*by, "known").distinct()
+    dealt = one.select(*by, "known", F.explode(F.array_distinct(F.concat(*[_grams(F.col("known"), n) for n in range(1, grams + 1)]))).alias("gram"))
+    counts = dealt.groupBy(*by, "gram").agg(F.count("*").alias("n"))
+    asked = parts.where("asked <> ''").select(*by, "asked").distinct()
+    own = F.when(F.length("asked") < grams, F.array("asked")).otherwise(F.array_distinct(_grams(F.col("asked"), grams)))
+    keyed = asked.select(*by, "asked", F.explode(own).alias("gram")).join(counts, [*by, "gram"], "left")
+    rarest = keyed.groupBy(*by, "asked").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    return rarest.join(dealt, [*by, "gram"]).where(F.col("known").contains(F.col("asked"))).select(*by, "asked", "known")
 
 
 def notes_for_entities(notes: DataFrame, links: DataFrame, entities: DataFrame) -> DataFrame:
@@ -115,18 +137,62 @@ def apply_blocklist(df: DataFrame, blocklist: DataFrame, app: str = "app_id", do
     return rows.withColumn("blocked_by", F.coalesce(F.concat(F.lit("app:"), "a_pattern"), F.concat(F.lit("domain:"), "d_pattern"))).drop("a_pattern", "d", "d_pattern")
 
 
+def _chars(name: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(F.split(name, ""), lambda c: (c != "") & (c != " "))))
+
+
+def _alike_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs `(entity_type, set_a, set_b)` of character sets, a set with itself among them, that reach the similarity.
+
+    Two such sets share one of the rarest m - ceil(threshold * m) + 1 characters of each, and their sizes are within
+    the threshold of each other; only sets that meet in such a character are compared."""
+    letters = sets.select("entity_type", "chars", F.explode("chars").alias("char"))
+    rarity = letters.groupBy("entity_type", "char").agg(F.count("*").alias("n"))
+    ranked = letters.join(rarity, ["entity_type", "char"]).groupBy("entity_type", "chars").agg(F.array_sort(F.collect_list(F.struct("n", "char"))).alias("order"))
+    m = F.size("chars")
+    prefix = F.slice("order", 1, m - F.ceil(m * threshold - 1e-9).cast("int") + 1)
+    keys = ranked.select("entity_type", "chars", m.alias("m"), F.explode(F.transform(prefix, lambda x: x["char"])).alias("char"))
+    a = keys.select("entity_type", "char", F.col("chars").alias("set_a"), F.col("m").alias("m_a"))
+    b = keys.select("entity_type", "char", F.col("chars").alias("set_b"), F.col("m").alias("m_b"))
+    near = F.least("m_a", "m_b") >= F.greatest("m_a", "m_b") * threshold - 1e-9
+    pairs = a.join(b, ["entity_type", "char"]).where((F.col("set_a") <= F.col("set_b")) & near).select("entity_type", "set_a", "set_b").distinct()
+    return pairs.where(F.size(F.array_intersect("set_a", "set_b")) / F.size(F.array_union("set_a", "set_b")) >= threshold)
+
+
 def similar_pairs(names: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs of names of one type whose similarity reaches the threshold (of E05 the pairs of canonical names alone).
-
-    Equal names: 1; one holding the other: 0.9; else the Jaccard similarity of their characters (without blanks).
-    Names are compared after folding equal ones; all pairs that share a type are compared."""
-    one = names.select("entity_type", F.lower("name").alias("name")).distinct()
-    chars = F.array_distinct(F.filter(F.split("name", ""), lambda c: (c != "") & (c != " ")))
-    sets = one.withColumn("chars", chars).withColumn("m", F.size("chars"))
-    a, b = sets.alias("a"), sets.alias("b")
-    possible = (F.col("a.entity_type") == F.col("b.entity_type")) & (F.col("a.name") < F.col("b.name"))
-    pairs = a.join(b, possible)
-    held = F.col("a.name").contains(F.col("b.name")) | F.col("b.name").contains(F.col("a.name"))
-    both, either = F.size(F.array_intersect("a.chars", "b.chars")), F.size(F.array_union("a.chars", "b.chars"))
-    score = F.when(held, F.lit(0.9)).when(either == 0, F.lit(0.0)).otherwise(both / either)
-    return pairs.select(F.col("a.entity_type").alias("entity_type"), F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"), score.alias("similarity")).where(F.col("similarity") >= threshold)
+    """Pairs of names of one type whose similarity reaches the threshold (above 0).
+
+    One holding the other: 0.9; else the Jaccard similarity of their characters (without blanks). Names are compared
+    after folding equal ones (ignoring case); null and empty ones are in no pair. Candidates meet by a shared rare
+    substring or a shared rare character, never by their type alone."""
+    one = names.select("entity_type", F.lower("name").alias("name")).where("entity_type is not null and name <> ''").distinct()
+    keyed = one.withColumn("chars", _chars(F.col("name")))
+    sets = _alike_sets(keyed.select("entity_type", "chars").distinct(), threshold)
+    a = keyed.select("entity_type", F.col("name").alias("x"), F.col("chars").alias("set_a"))
+    b = keyed.select("entity_type", F.col("name").alias("y"), F.col("chars").alias("set_b"))
+    alike = sets.join(a, ["entity_type", "set_a"]).join(b, ["entity_type", "set_b"]).select("entity_type", "x", "y")
+    held = held_pairs(one.withColumnRenamed("name", "asked"), one.withColumnRenamed("name", "known"), ("entity_type",)).select("entity_type", F.col("asked").alias("x"), F.col("known").alias("y"))
+    pairs = alike.unionByName(held).where("x <> y").select("entity_type", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
+    contains = F.col("name_a").contains(F.col("name_b")) | F.col("name_b").contains(F.col("name_a"))
+    left, right = _chars(F.col("name_a")), _chars(F.col("name_b"))
+    either = F.size(F.array_union(left, right))
+    score = F.when(contains, F.lit(0.9)).when(either == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(left, right)) / either)
+    return pairs.withColumn("similarity", score).where(F.col("similarity") >= threshold)
+
+
+def potential_duplicates(entities: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Groups of entities of one type that may be the same: `(group_id, entity_id, entity_type, canonical_name)`.
+
+    Two entities are linked if any of their names (canonical or alias, ignoring case) are equal or reach the
+    similarity of J12; groups are the connected components, named by their smallest id; single entities are left out.
+    Entities that share a name are linked to the first of them, so a frequent name adds one link an entity."""
+    from lumenlog.operators.graph import components
+
+    all_names = F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    names = entities.select("entity_id", "entity_type", F.explode(all_names).alias("name")).select("entity_id", "entity_type", F.lower("name").alias("name")).where("entity_type is not null and name <> ''").distinct()
+    first = names.groupBy("entity_type", "name").agg(F.min("entity_id").alias("first_id"))
+    equal = names.join(first, ["entity_type", "name"]).select(F.col("entity_id").alias("a"), F.col("first_id").alias("b"))
+    ends = lambda c, to: first.select("entity_type", F.col("name").alias(c), F.col("first_id").alias(to))
+    alike = similar_pairs(names, threshold).join(ends("name_a", "a"), ["entity_type", "name_a"]).join(ends("name_b", "b"), ["entity_type", "name_b"]).select("a", "b")
+    groups = components(equal.unionByName(alike).where("a <> b"))
+    return groups.select(F.col("node").alias("entity_id"), F.col("component").alias("group_id")).join(entities.select("entity_id", "entity_type", "canonical_name"), "entity_id").select("group_id", "entity_id", "entity_type", "canonical_name")

@@ -43,8 +43,8 @@ def key_set_ops(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def union_arrays(df: DataFrame, key: str, col: str) -> DataFrame:
-    """The sorted union of an array column per key."""
-    return df.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(col)))).alias(col))
+    """The sorted union of an array column per key (nulls in it left out); a key without values has an empty one."""
+    return df.select(key, F.explode_outer(col).alias("value")).groupBy(key).agg(F.array_sort(F.collect_set("value")).alias(col))
 
 
 def pack_context(parents: DataFrame, children: DataFrame, n: int) -> DataFrame:

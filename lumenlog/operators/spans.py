@@ -24,9 +24,11 @@ def build_spans(samples: DataFrame, key: str = "user_id", browsers: list[str] |
     starts = F.col("p_ts").isNull() | ~F.col("app_id").eqNullSafe(F.col("p_app_id")) | title | url
     rows = rows.withColumn("starts", starts.cast("int"))
     rows = rows.withColumns({"span": F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n_starts": F.lead("starts").over(w)})
+    newest = Window.partitionBy(key, "span").orderBy(F.col("ts").desc(), F.col(tie).desc())
+    rows = rows.withColumn("age", F.row_number().over(newest))
     ordered = F.struct("ts", tie)
     title_at = F.when(filled("window_title"), F.struct("ts", tie, "window_title"))
-    ids = F.slice(F.sort_array(F.collect_list(ordered), asc=False), 1, keep_ids)
+    ids = F.array_sort(F.collect_list(F.when(F.col("age") <= keep_ids, ordered)))
     out = rows.groupBy(key, "span").agg(
         F.min("ts").alias("start_ts"),
         F.max(F.when(F.col("n_starts") == 1, F.col("n_ts")).otherwise(F.col("ts"))).alias("end_ts"),
@@ -36,7 +38,7 @@ def build_spans(samples: DataFrame, key: str = "user_id", browsers: list[str] |
         F.count("*").alias("n_samples"),
         ids.alias("last_ids"),
     )
-    return out.withColumn("evidence_ids", F.reverse(F.transform("last_ids", lambda x: x[tie]))).drop("last_ids")
+    return out.withColumn("evidence_ids", F.transform("last_ids", lambda x: x[tie])).drop("last_ids")
 
 
 def lead_spans(events: DataFrame, key: str = "user_id", tie: str = "event_id") -> DataFrame:

@@ -270,6 +270,16 @@ def j12(spark, d):
     return J.similar_pairs(B.read(spark, d, "part").select(F.col("p_brand").alias("entity_type"), F.col("p_name").alias("name")))
 
 
+@query("e05_potential_duplicates", """WITH RECURSIVE n AS MATERIALIZED (SELECT DISTINCT id, kind, name FROM (SELECT p_partkey AS id, p_brand AS kind, lower(p_name) AS name FROM part UNION ALL SELECT p_partkey, p_brand, lower(p_type) FROM part)),
+c AS MATERIALIZED (SELECT DISTINCT kind, name, list_distinct(list_filter(string_split(name, ''), lambda x: x <> '' AND x <> ' ')) AS cs FROM n),
+s AS MATERIALIZED (SELECT a.kind, a.name AS x, b.name AS y FROM c a JOIN c b ON a.kind = b.kind WHERE contains(a.name, b.name) OR contains(b.name, a.name) OR CAST(len(list_intersect(a.cs, b.cs)) AS DOUBLE) / len(list_distinct(list_concat(a.cs, b.cs))) >= 0.8),
+e AS MATERIALIZED (SELECT DISTINCT p.id AS a, q.id AS b FROM s JOIN n p ON p.kind = s.kind AND p.name = s.x JOIN n q ON q.kind = s.kind AND q.name = s.y WHERE p.id <> q.id),
+r AS (SELECT a, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a WHERE r.root < e.b)
+SELECT min(root) AS group_id, a AS entity_id FROM r GROUP BY a""")
+def e05(spark, d):
+    return J.potential_duplicates(B.entities(spark, d)).select("group_id", "entity_id")
+
+
 @query("j14_overlap_join", with_("spans") + """, b AS (SELECT * FROM spans WHERE epoch_us(end_ts) - epoch_us(start_ts) <= 21600000000)
 SELECT x.user_id, x.event_id AS a_id, y.event_id AS b_id, CAST(epoch_us(least(x.end_ts, y.end_ts)) // 1000000 - epoch_us(greatest(x.start_ts, y.start_ts)) // 1000000 AS BIGINT) AS seconds
 FROM (SELECT user_id, event_id, start_ts, end_ts FROM b WHERE app_id = 'click') x JOIN (SELECT user_id, event_id, start_ts + INTERVAL 30 MINUTE AS start_ts, end_ts + INTERVAL 30 MINUTE AS end_ts FROM b WHERE app_id = 'view') y ON x.user_id = y.user_id AND x.start_ts < y.end_ts AND y.start_ts < x.end_ts""")
