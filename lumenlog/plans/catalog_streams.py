@@ -86,10 +86,15 @@ def st4s(spark, d):
     return drain(T.stream_sessions(_stream(spark, d))).select(ntz("start"), ntz("end"), "user_id", "events")
 
 
-@query("st5_stream_blocklist", "SELECT event_id, user_id FROM events WHERE event_type <> 'click'")
+@query("st5_stream_blocklist", """WITH b AS (SELECT DISTINCT lower(regexp_extract(url, '://([^/:]+)', 1)) AS pattern FROM pages WHERE page_id % 3 = 0)
+SELECT event_id, user_id FROM (SELECT *, 'www.' || (SELECT min(pattern) FROM b) AS host, CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 AS h FROM events) WHERE event_type <> 'click' AND NOT (h = 0 AND host IS NOT NULL)""")
 def st5(spark, d):
-    s = _stream(spark, d).withColumn("domain", F.concat(F.lit("s"), (F.col("k") % 4).cast("string"), F.lit(".example.com")))
-    bl = B.read(spark, d, "region").limit(1).select(F.lit("app").alias("block_type"), F.lit("click").alias("pattern"), F.lit(True).alias("enabled"))
+    pages = B.read(spark, d, "pages").where("page_id % 3 = 0").select(F.lower(F.regexp_extract("url", "://([^/:]+)", 1)).alias("pattern")).distinct()
+    bl = pages.select(F.lit("domain").alias("block_type"), "pattern", F.lit(True).alias("enabled"))
+    bl = bl.unionByName(B.read(spark, d, "events").where("event_type = 'click'").select(F.lit("app").alias("block_type"), F.col("event_type").alias("pattern"), F.lit(True).alias("enabled")).distinct())
+    first = pages.agg(F.min("pattern").alias("first"))
+    s = _stream(spark, d).join(first, F.lit(True), "left")
+    s = s.withColumn("domain", F.when(F.col("k") % 4 == 0, F.concat(F.lit("www."), "first")).otherwise("other.invalid"))
     return drain(T.stream_blocklist(s, bl)).select("event_id", "user_id")
 
 
@@ -101,6 +106,24 @@ def st1(spark, d):
     return out.select("user_id", ntz("start_ts"), ntz("end_ts"), "app_id", "n_samples")
 
 
+@query("st1_stream_spans_idle", f"""WITH l AS (SELECT user_id, ts, event_id, event_type, lead(ts) OVER w AS nts, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR ts - lag(ts) OVER w > INTERVAL 4 HOUR THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM l),
+x AS (SELECT user_id, s, min(ts) AS start_ts, max(ts) AS last_ts, max(nts) AS next_ts, any_value(event_type) AS app_id, count(*) AS n_samples, bool_or(nts IS NULL) AS open FROM g GROUP BY user_id, s),
+y AS (SELECT *, open OR next_ts - last_ts > INTERVAL 4 HOUR AS idle FROM x)
+SELECT user_id, start_ts, CASE WHEN idle THEN last_ts ELSE next_ts END AS end_ts, app_id, n_samples FROM y WHERE CASE WHEN idle THEN last_ts + INTERVAL 4 HOUR < {_MARK} OR (NOT open AND next_ts <= {_MARK}) ELSE next_ts <= {_MARK} END""")
+def st1i(spark, d):
+    out = drain(T.stream_spans(_stream(spark, d), idle=4 * 3600))
+    return out.select("user_id", ntz("start_ts"), ntz("end_ts"), "app_id", "n_samples")
+
+
+@query("st2_stream_drop_dups_monitors", with_("frames") + ", n AS (SELECT event_id, user_id, k % 2 AS monitor, fingerprint, lag(fingerprint) OVER (PARTITION BY user_id, k % 2 ORDER BY ts, event_id) AS p FROM frames) SELECT user_id, monitor, event_id, p IS NOT NULL AND substr(fingerprint, 1, 63) = substr(p, 1, 63) AS is_dup FROM n")
+def st2m(spark, d):
+    s = _stream(spark, d).withColumn("monitor", F.col("k") % 2)
+    head = F.substring(F.sha2(F.concat(F.col("app_id"), (F.col("k") % 2).cast("string")), 256), 1, 63)
+    last = F.substring(F.lit("0123456789abcdef"), F.col("k") % 16 + 1, F.lit(1))
+    return drain(T.stream_drop_dups(s.withColumn("fingerprint", F.concat(head, last)), key=("user_id", "monitor")))
+
+
 @query("st2_stream_drop_dups", with_("frames") + ", n AS (SELECT event_id, fingerprint, lag(fingerprint) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM frames) SELECT event_id, p IS NOT NULL AND substr(fingerprint, 1, 63) = substr(p, 1, 63) AS is_dup FROM n")
 def st2(spark, d):
     s = _stream(spark, d)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,15 @@ SPAN_SCHEMA = "user_id long, start_ts timestamp, end_ts timestamp, app_id string
 class SpanTracker(StatefulProcessor):
     """Holds the open span and the samples that the watermark hasn't passed, and emits spans as contexts change.
 
-    Samples wait until the watermark is past them, so that out-of-order ones are put in their place."""
+    Samples wait until the watermark is past them, so that out-of-order ones are put in their place. With `idle`
+    seconds given, a span whose next sample comes later than that, or not before the watermark says so, ends at its
+    last sample, and its state goes."""
+
+    def __init__(self, idle: float | None = None):
+        self.idle = None if idle is None else timedelta(seconds=idle)
+
+    def _wake(self, at: datetime) -> None:
+        self.handle.registerTimer(int(at.replace(tzinfo=timezone.utc).timestamp() * 1000) + 1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -31,20 +39,30 @@ class SpanTracker(StatefulProcessor):
         late = rows[len(ready) :]
         if late:
             self.waiting.put(late)
-            self.handle.registerTimer(int(late[0][0].replace(tzinfo=timezone.utc).timestamp() * 1000) + 1)
+            self._wake(late[0][0])
         else:
             self.waiting.clear()
         out = []
         span = self.open.get() if self.open.exists() else None
         for ts, _, app in ready:
+            if span is not None and self.idle is not None and ts - span[1] > self.idle:
+                out.append((key[0], *span))
+                span = None
             if span is not None and span[2] == app:
                 span = (span[0], ts, app, span[3] + 1)
             else:
                 if span is not None:
                     out.append((key[0], span[0], ts, span[2], span[3]))
                 span = (ts, ts, app, 1)
+        if span is not None and self.idle is not None and limit - span[1] > self.idle:
+            out.append((key[0], *span))
+            span = None
         if span is not None:
             self.open.update(span)
+            if self.idle is not None:
+                self._wake(span[1] + self.idle)
+        elif self.open.exists():
+            self.open.clear()
         return out
 
     def _frame(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
@@ -66,20 +84,21 @@ class SpanTracker(StatefulProcessor):
         pass
 
 
-def stream_spans(samples: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """ST1: closed spans of `(user_id, ts, event_id, app_id)`; a span closes at the sample that breaks it."""
+def stream_spans(samples: DataFrame, delay: str = "1 hour", idle: float | None = None) -> DataFrame:
+    """ST1: closed spans of `(user_id, ts, event_id, app_id)`; a span closes at the sample that breaks it, or at its
+    last sample if none follows within `idle` seconds (None: it stays open)."""
     marked = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return marked.groupBy("user_id").transformWithStateInPandas(SpanTracker(), SPAN_SCHEMA, "Append", "EventTime")
+    return marked.groupBy("user_id").transformWithStateInPandas(SpanTracker(idle), SPAN_SCHEMA, "Append", "EventTime")
 
 
 class DupFilter(StatefulProcessor):
     """Keeps the last fingerprint of a key; a frame within the threshold of it is a duplicate."""
 
-    def __init__(self, threshold: int):
-        self.threshold = threshold
+    def __init__(self, key: list[str], threshold: int, ttl: int | None):
+        self.key, self.threshold, self.ttl = key, threshold, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "fingerprint string")
+        self.last = handle.getValueState("last", "fingerprint string", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frames = pd.concat(list(rows)).sort_values(["ts", "event_id"])
@@ -89,15 +108,21 @@ class DupFilter(StatefulProcessor):
             flags.append(before is not None and (int(before, 16) ^ int(fp, 16)).bit_count() <= self.threshold)
             before = fp
         self.last.update((before,))
-        yield frames[["user_id", "event_id"]].assign(is_dup=flags)
+        yield frames[[*self.key, "event_id"]].assign(is_dup=flags)
 
     def close(self) -> None:
         pass
 
 
-def stream_drop_dups(frames: DataFrame, threshold: int = 5) -> DataFrame:
-    """ST2: `(user_id, event_id, is_dup)` per frame, in the order of arrival between batches and of time within one."""
-    return frames.groupBy("user_id").transformWithStateInPandas(DupFilter(threshold), "user_id long, event_id long, is_dup boolean", "Append", "None")
+def stream_drop_dups(frames: DataFrame, threshold: int = 5, key: tuple[str, ...] = ("user_id",), ttl: int | None = None) -> DataFrame:
+    """ST2: `(*key, event_id, is_dup)` per frame, in the order of arrival between batches and of time within one.
+
+    A key that sends nothing for `ttl` milliseconds of processing time is forgotten (None: never), so its next frame is
+    kept; such a stream runs on without data, so it is meant for triggers that don't wait for its end."""
+    types = {f.name: f.dataType.simpleString() for f in frames.schema}
+    schema = ", ".join([*(f"{c} {types[c]}" for c in key), "event_id long", "is_dup boolean"])
+    mode = "None" if ttl is None else "ProcessingTime"
+    return frames.groupBy(*key).transformWithStateInPandas(DupFilter(list(key), threshold, ttl), schema, "Append", mode)
 
 
 def stream_hourly(samples: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -119,11 +144,16 @@ def stream_sessions(samples: DataFrame, gap: str = "6 hours", delay: str = "1 ho
 
 
 def stream_blocklist(samples: DataFrame, blocklist: DataFrame) -> DataFrame:
-    """ST5: allowed rows of a stream with `(app_id, domain)`, by exact app or exact domain (stream-static anti join)."""
+    """ST5: allowed rows of a stream with `(app_id, domain)`: those whose app is not blocked, nor its domain, nor one
+    above it (stream-static anti joins, one per number of labels that blocked domains have; case is ignored)."""
     live = blocklist.where("enabled")
-    apps = live.where("block_type = 'app'").select(F.col("pattern").alias("app_id"))
-    domains = live.where("block_type = 'domain'").select(F.lower("pattern").alias("domain"))
-    return samples.join(apps, "app_id", "left_anti").join(domains, "domain", "left_anti")
+    apps = live.where("block_type = 'app'").select(F.lower("pattern").alias("blocked"))
+    domains = live.where("block_type = 'domain'").select(F.lower("pattern").alias("blocked"))
+    out = samples.join(apps, F.lower("app_id") == F.col("blocked"), "left_anti")
+    labels = F.size(F.split("blocked", r"\."))
+    for n in [r[0] for r in domains.select(labels).distinct().collect()]:  # numbers of labels, 127 at most
+        out = out.join(domains.where(labels == n), F.lower(F.substring_index("domain", ".", -n)) == F.col("blocked"), "left_anti")
+    return out
 
 
 def stream_frame_span_join(frames: DataFrame, spans: DataFrame, bound: str = "1 hour") -> DataFrame:
