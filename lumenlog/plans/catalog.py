@@ -80,7 +80,8 @@ def s10(spark, d):
     return S.delete_where(B.read(spark, d, "events"), (F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")) & (F.col("event_type") == "click")).select("event_id", "user_id")
 
 
-@query("s11_render_notes")
+@query("s11_render_notes", with_("notes") + """ SELECT note_id, concat_ws(chr(10), '---', 'note_id: ' || note_id, 'start: ' || strftime(start_ts, '%Y-%m-%d %H:%M'), '---', '## Summary', status || ' ' || note_type, '## Activities',
+  array_to_string(list_transform(categories, lambda c: '09:00 | app | ' || c), chr(10))) AS markdown FROM notes""")
 def s11(spark, d):
     n = B.notes(spark, d).select("note_id", "start_ts", F.concat_ws(" ", "status", "note_type").alias("summary"), F.transform("categories", lambda c: F.struct(F.lit("09:00").alias("time_start"), c.alias("description"), F.lit("app").alias("app"))).alias("activities"))
     return S.render_notes(n)

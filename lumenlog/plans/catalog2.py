@@ -272,12 +272,32 @@ def _scored(spark, d):
     return K.score_frames(K.triage(rows, {"cl": "creative", "v": "document"}))
 
 
-@query("w09_w10_score_frames", _SCORED + " SELECT event_id, is_transition, round(CAST(is_transition AS INT) + 0.6 * diff_score + CASE WHEN importance >= 0.3 THEN importance * 0.5 ELSE 0.0 END + CASE category WHEN 'document' THEN 0.2 WHEN 'creative' THEN 0.15 ELSE 0.0 END, 6) AS score, CASE WHEN is_transition THEN 'transition' WHEN diff_score >= 0.5 THEN 'change' WHEN importance >= 0.3 THEN 'importance' ELSE 'other' END AS reason FROM i")
+_SCORE = "round(CAST(is_transition AS INT) + 0.6 * diff_score + CASE WHEN importance >= 0.3 THEN importance * 0.5 ELSE 0.0 END + CASE category WHEN 'document' THEN 0.2 WHEN 'creative' THEN 0.15 ELSE 0.0 END, 6)"
+
+
+@query("w09_w10_score_frames", _SCORED + " SELECT event_id, is_transition, " + _SCORE + " AS score, CASE WHEN is_transition THEN 'transition' WHEN diff_score >= 0.5 THEN 'change' WHEN importance >= 0.3 THEN 'importance' ELSE 'other' END AS reason FROM i")
 def w10(spark, d):
     return _scored(spark, d).select("event_id", "is_transition", "score", "reason")
 
 
-@query("w11_w12_keyframes")
+# The greedy choice folds each group's rows, best first; an anchor fills a gap between chosen rows, so gaps don't disturb
+# each other and the first ones in time take what room is left.
+_KEYFRAMES = (
+    _SCORED
+    + f""", f AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id AS frame_id, ts, epoch_us(ts) // 1000000 AS t, {_SCORE} AS score FROM i),
+o AS MATERIALIZED (SELECT user_id, day, list([{{'t': t, 'id': frame_id}}] ORDER BY score DESC, t, frame_id) AS rows FROM f GROUP BY ALL),
+h AS MATERIALIZED (SELECT user_id, day, list_reduce(rows, lambda a, r: CASE WHEN len(a) < 5 AND len(list_filter(a, lambda x: abs(x.t - r[1].t) < 3600)) = 0 THEN list_concat(a, r) ELSE a END) AS chosen FROM o),
+u AS (SELECT user_id, day, unnest(chosen) AS c, len(chosen) AS n FROM h),
+g AS (SELECT user_id, day, n, c.id AS id, c.t AS t, lead(c.t) OVER (PARTITION BY user_id, day ORDER BY c.t) AS e FROM u),
+m AS (SELECT g.user_id, g.day, g.n, g.t AS a, f.frame_id, row_number() OVER (PARTITION BY g.user_id, g.day, g.t ORDER BY abs(f.t - (g.t + g.e) / 2), f.t, f.frame_id) AS r
+  FROM g JOIN f ON f.user_id = g.user_id AND f.day = g.day AND f.t > g.t AND f.t < g.e WHERE g.e - g.t > 14400),
+p AS (SELECT frame_id FROM (SELECT frame_id, n, row_number() OVER (PARTITION BY user_id, day ORDER BY a) AS i FROM m WHERE r = 1) WHERE i <= 5 - n)
+SELECT user_id, day, frame_id, ts, score, 'score' AS why FROM f WHERE frame_id IN (SELECT id FROM g)
+UNION ALL SELECT user_id, day, frame_id, ts, score, 'anchor' FROM f WHERE frame_id IN (SELECT frame_id FROM p)"""
+)
+
+
+@query("w11_w12_keyframes", _KEYFRAMES, dates=("day",))
 def w11(spark, d):
     rows = _scored(spark, d).select("user_id", F.to_date("ts").alias("day"), F.col("event_id").alias("frame_id"), "ts", "score")
     return K.select_keyframes(rows, ["user_id", "day"], k=5, gap=3600, anchor=14400)
@@ -448,6 +468,14 @@ def g07(spark, d):
     return G.paths(B.edges(spark, d).where("weight >= 0.9"), 200, 300).select("path", "hops")
 
 
+@query("g07_paths_of_two_parts", with_("edges") + """, b AS MATERIALIZED (SELECT from_id, to_id FROM edges WHERE weight >= 0.5 UNION SELECT to_id, from_id FROM edges WHERE weight >= 0.5),
+p AS (SELECT '150>120' AS path, 1 AS hops FROM b WHERE from_id = 150 AND to_id = 120 UNION ALL SELECT '150>' || x.to_id || '>120', 2 FROM b x JOIN b y ON x.to_id = y.from_id WHERE x.from_id = 150 AND y.to_id = 120
+  UNION ALL SELECT '150>' || x.to_id || '>' || y.to_id || '>120', 3 FROM b x JOIN b y ON x.to_id = y.from_id JOIN b z ON y.to_id = z.from_id WHERE x.from_id = 150 AND z.to_id = 120 AND x.to_id NOT IN (150, 120) AND y.to_id NOT IN (150, 120, x.to_id))
+SELECT path, CAST(hops AS INT) AS hops FROM p WHERE hops = (SELECT min(hops) FROM p)""")
+def g07_parts(spark, d):
+    return G.paths(B.edges(spark, d).where("weight >= 0.5"), 150, 120)
+
+
 @query("g08_entity_context", with_("edges", "links", "notes") + " SELECT (SELECT count(*) FROM edges WHERE from_id = 50) AS n_out, (SELECT count(*) FROM edges WHERE to_id = 50) AS n_in, (SELECT string_agg(CAST(note_id AS VARCHAR), ',' ORDER BY start_ts DESC, note_id) FROM (SELECT note_id, start_ts FROM links JOIN notes USING (note_id) WHERE entity_id = 50 ORDER BY start_ts DESC, note_id LIMIT 10)) AS notes")
 def g08(spark, d):
     return G.entity_context(50, B.edges(spark, d), B.links(spark, d), B.notes(spark, d))
@@ -657,7 +685,8 @@ def f15(spark, d):
     return tag_documents(p).select("p_partkey", "document_type", "document_path", F.col("document_confidence").cast("double").alias("document_confidence"))
 
 
-@query("f20_embedding_text")
+@query("f20_embedding_text", """SELECT o_orderkey AS note_id, 'Time: ' || strftime(o_orderdate, '%Y-%m-%d %H:%M') || chr(10) || o_orderstatus || chr(10) || 'Activities: work ' || o_orderstatus || chr(10) || 'Topics: ' || o_orderpriority AS text
+FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0""")
 def f20(spark, d):
     from lumenlog.operators.payload import embedding_text, validate_payloads
 
