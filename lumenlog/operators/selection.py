@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,25 +65,24 @@ def select_keyframes(frames: DataFrame, key: list[str], k: int = 15, gap: float
     """Per group (a key and an hour, so bounded) up to k frames `(frame_id, ts, score)`.
 
     Greedy by score, ties by time and id, each at least `gap` seconds from all chosen; then, while there is room, the
-    frame nearest the middle of each gap of more than `anchor` seconds; in order of time."""
-    schema = frames.select(*key, "frame_id", "ts", "score").schema.add("why", "string")
+    frame nearest the middle of each gap of more than `anchor` seconds; in order of time. Frames without a score come last."""
+    kind = frames.schema["ts"].dataType.typeName()
+    seconds = {"timestamp": F.unix_timestamp("ts"), "timestamp_ntz": F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01', ts)")}.get(kind, F.col("ts"))
+    worth = F.coalesce("score", F.lit(float("-inf")))
+    item = F.struct((-worth).alias("cost"), seconds.alias("t"), "frame_id", "ts", "score")
+    groups = frames.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("rows"))
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf["ts"].astype("int64") // (10**9 if str(pdf["ts"].dtype).endswith("[ns]") else 10**6) if pdf["ts"].dtype.kind == "M" else pdf["ts"]
-        rows = sorted(zip(-pdf["score"], at, pdf["frame_id"], pdf.index, strict=True))
-        chosen: dict = {}
-        for _, t, _, i in rows:
-            if len(chosen) < k and all(abs(t - u) >= gap for u, _ in chosen.values()):
-                chosen[i] = (t, "score")
-        if chosen:
-            times = sorted(t for t, _ in chosen.values())
-            for a, b in zip(times, times[1:], strict=False):
-                if b - a > anchor and len(chosen) < k:
-                    left = [(abs(t - (a + b) / 2), t, f, i) for _, t, f, i in rows if i not in chosen and a < t < b]
-                    if left:
-                        _, t, _, i = min(left)
-                        chosen[i] = (t, "anchor")
-        out = pdf.loc[list(chosen), [*key, "frame_id", "ts", "score"]].assign(why=[w for _, w in chosen.values()])
-        return out.sort_values(["ts", "frame_id"])
+    far = lambda done, x: ~F.exists(done, lambda y: F.abs(y["t"] - x["t"]) < gap)
+    add = lambda done, x: F.when((F.size(done) < k) & far(done, x), F.concat(done, F.array(x))).otherwise(done)
+    groups = groups.withColumn("chosen", F.aggregate("rows", F.slice("rows", 1, 0), add))
+    groups = groups.withColumn("times", F.array_sort(F.transform("chosen", lambda x: x["t"])))
 
-    return frames.select(*key, "frame_id", "ts", "score").groupBy(*key).applyInPandas(pick, schema)
+    ends = F.transform("times", lambda t, i: F.struct(t.alias("a"), F.get("times", i + 1).alias("e")))
+    groups = groups.withColumn("gaps", F.filter(ends, lambda g: g["e"] - g["a"] > anchor))
+    off = lambda x, g: F.struct(F.abs(x["t"] - (g["a"] + g["e"]) / 2).alias("off"), *[x[c].alias(c) for c in ("t", "frame_id", "ts", "score")])
+    middle = lambda g: F.array_min(F.transform(F.filter("rows", lambda x: (x["t"] > g["a"]) & (x["t"] < g["e"])), lambda x: off(x, g)))
+    anchors = F.slice(F.filter(F.transform("gaps", middle), lambda x: x.isNotNull()), F.lit(1), F.lit(k) - F.size("chosen"))
+
+    shown = lambda rows, why: F.transform(rows, lambda x: F.struct(*[x[c].alias(c) for c in ("ts", "frame_id", "score")], F.lit(why).alias("why")))
+    both = F.array_sort(F.concat(shown(F.col("chosen"), "score"), shown(anchors, "anchor")))
+    return groups.select(*key, F.explode(both).alias("x")).select(*key, "x.frame_id", "x.ts", "x.score", "x.why")
