@@ -11,6 +11,8 @@ from lumenlog.llm.mixing import OP10_SQL, op10_mixing
 from lumenlog.llm.packing import op3_token_output, op6_cost_balanced_packing
 from lumenlog.llm.quality import op4_quality_classifier
 from lumenlog.llm.suffix_tree import op1_suffix_tree_scoring
+from lumenlog.llm.trie import OP12_SQL, op12_prefix_trie
+from lumenlog.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_suffix_tree_scoring": op1_suffix_tree_scoring,
@@ -23,6 +25,8 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
-ORACLES = {"op2_minhash_near_dedup": OP2_SQL, "op5_embedding_near_dedup": OP5_SQL, "op10_mixing": OP10_SQL}
+ORACLES = {"op2_minhash_near_dedup": OP2_SQL, "op5_embedding_near_dedup": OP5_SQL, "op10_mixing": OP10_SQL, "op12_prefix_trie": OP12_SQL}
