@@ -259,7 +259,7 @@ def prefix_trie(conversations: DataFrame, modulus: int | None = None, spread: in
     `conv_id` (smallest member), `depth`, `parent_conv_id`, `n_convs`, `n_children`, `n_leaves`, `saved_tokens`, `ends_sha256`.
 
     With `modulus`, conversation c is rebuilt first: its first h = crc32(c) % spread turns give way to those of
-    conversation c - c % modulus, as far as there are any.
+    conversation c - c % modulus (the remainder has the sign of c), as far as there are any.
 
     1. Turns become digests; depth and prefix digest are found in pieces of a conversation (`ordered`, `prefixes`).
     2. A count-min sketch of all prefix digests is summed up on the cluster. A prefix whose estimate is one is of one
