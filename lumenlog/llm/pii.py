@@ -147,7 +147,7 @@ def _meets(spans: str, x: str) -> str:
 def candidates(docs: DataFrame) -> DataFrame:
     """Columns of `docs` and, from its `text`: `base` (spans of the base patterns by kind, then start), `known` (features
     of all matches of those and whether they count) and `proposed` (further spans with features, none meeting a base span)."""
-    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("base", "known", "proposed")]
+    names = [F.col(f"`{c}`") for c in docs.columns]
     row = F.struct(*names).alias("row")
     out = docs.select(row, F.coalesce(F.col("text"), F.lit("")).alias("t"))
     tried = {"email": "contains(t, '@')", "ip": "t rlike '[0-9][.]'", "card": "t rlike '[0-9]'", "phone": "contains(t, '+')"}
