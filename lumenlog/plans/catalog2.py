@@ -15,6 +15,7 @@ from lumenlog.operators import selection as K
 from lumenlog.operators import sets as U
 from lumenlog.operators import spans as W
 from lumenlog.operators import vectors as V
+from lumenlog.operators.segments import block_piece
 from lumenlog.plans import base as B
 from lumenlog.plans import pipelines as L
 from lumenlog.plans.base import with_
@@ -253,14 +254,14 @@ s AS (SELECT *, max(CAST(spent >= 4000 OR (spent + cap > 4000 AND 4000 - spent <
 def w07(spark, d):
     from lumenlog.sources.tables import with_token_estimate
 
-    return W.budget_snippets(with_token_estimate(B.read(spark, d, "documents")), "source", ["doc_id"]).select("doc_id", "source", "used_tokens")
+    return W.budget_snippets(with_token_estimate(B.read(spark, d, "documents")), "source", ["doc_id"], piece=block_piece("doc_id")).select("doc_id", "source", "used_tokens")
 
 
 @query("w08_budget_prefix", "SELECT * FROM (SELECT doc_id, source, CAST(sum(length(text) // 4) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS running_tokens FROM documents) WHERE running_tokens <= 4000")
 def w08(spark, d):
     from lumenlog.sources.tables import with_token_estimate
 
-    return W.budget_prefix(with_token_estimate(B.read(spark, d, "documents")), "source", ["doc_id"]).select("doc_id", "source", "running_tokens")
+    return W.budget_prefix(with_token_estimate(B.read(spark, d, "documents")), "source", ["doc_id"], piece=block_piece("doc_id")).select("doc_id", "source", "running_tokens")
 
 
 _SCORED = with_("samples") + """, t AS (SELECT *, row_number() OVER w = 1 OR app_id IS DISTINCT FROM lag(app_id) OVER w OR window_title IS DISTINCT FROM lag(window_title) OVER w AS is_transition, CAST(k AS DOUBLE) / 100 AS diff_score FROM samples WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,8 +21,9 @@ def spans_in_range(df: DataFrame, a: str, b: str, start: str = "start_ts", end:
 def upsert_latest(base: DataFrame, new: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """Base and new rows, one per key, the last by `order` wins (new rows before old ones at a tie)."""
     both = base.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    w = Window.partitionBy(*key).orderBy(*[c.desc() for c in order], F.col("__new").desc())
-    return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__new")
+    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("__new"))
+    best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in base.columns]), rank).alias("__row")  # a partial maximum in each task, no sort
+    return both.groupBy(*[F.col(c).alias(f"__k_{c}") for c in key]).agg(best).select("__row.*")
 
 
 def with_token_estimate(df: DataFrame, text: str = "text") -> DataFrame:

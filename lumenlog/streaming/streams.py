@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lumenlog.operators.joins import apply_blocklist
+from lumenlog.sources.merge_table import MergeTable, hash_bucket, keep_latest
 
 SPAN_SCHEMA = "user_id long, start_ts timestamp, end_ts timestamp, app_id string, n_samples long"
 
@@ -165,40 +166,30 @@ def stream_frame_span_join(frames: DataFrame, spans: DataFrame, bound: str = "1
 
 
 def table_versions(spark: SparkSession, path: str) -> list[int]:
-    """Complete versions under a sink's folder, rising: those whose write has left its mark of success."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [x.getPath().getName() for x in fs.listStatus(folder)]
-    found = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
-    return sorted(v for v in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS")))
+    """Batches that a sink's table has as a whole, rising, as far back as it keeps them."""
+    return MergeTable(spark, path, keep_latest([], []), F.lit(0)).versions()
 
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
     """ST7: the table as its last complete batch left it; None before the first."""
-    there = table_versions(spark, path)
-    return spark.read.parquet(f"{path}/version={there[-1]}") if there else None
+    table = MergeTable(spark, path, keep_latest([], []), F.lit(0))
+    about = table.manifest().get("about")
+    if about is None:
+        return None
+    table.merge = keep_latest(about["key"], about["order"])
+    return table.read()
 
 
-def upsert_sink(path: str, key: list[str], order: str, keep: int = 2):
+def upsert_sink(path: str, key: list[str], order: str, keep: int = 3, buckets: int = 16):
     """ST7: a foreachBatch function that keeps the latest row per key.
 
-    Each batch writes a version of its own from the last complete one before it. A batch that stops halfway leaves the
-    table as it was, as readers take the last complete version, and running it again replaces its version by the same
-    rows. Of older versions the last `keep` stay."""
+    The table is one of merged segments in buckets of a hash of the key (`sources.merge_table`): a batch writes its own
+    rows, one for each key, not the table. One that stops halfway leaves the table as it was; running it again replaces
+    its segment by the same rows."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        from lumenlog.sources.tables import upsert_latest
-
-        spark = batch.sparkSession
-        before = [v for v in table_versions(spark, path) if v < batch_id]
-        base = spark.read.parquet(f"{path}/version={before[-1]}") if before else batch.limit(0)
-        upsert_latest(base, batch, key, [F.col(order)]).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        for old in before[:-keep]:
-            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}")
-            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+        about = {"key": key, "order": [order]}
+        MergeTable(batch.sparkSession, path, keep_latest(key, [order]), hash_bucket(key, buckets), keep=keep, about=about).apply(batch, batch_id)
 
     return write
 

@@ -3,10 +3,10 @@
 import pandas as pd
 import pytest
 
-from lumenlog.plans import catalog, catalog2, catalog3, catalog_streams
+from lumenlog.plans import catalog, catalog2, catalog3, catalog4, catalog_streams
 
-ALL = {**catalog.QUERIES, **catalog2.QUERIES, **catalog3.QUERIES, **catalog_streams.QUERIES}
-SQL = {**catalog.ORACLES, **catalog2.ORACLES, **catalog3.ORACLES, **catalog_streams.ORACLES}
+ALL = {**catalog.QUERIES, **catalog2.QUERIES, **catalog3.QUERIES, **catalog4.QUERIES, **catalog_streams.QUERIES}
+SQL = {**catalog.ORACLES, **catalog2.ORACLES, **catalog3.ORACLES, **catalog4.ORACLES, **catalog_streams.ORACLES}
 
 
 def normal(df: pd.DataFrame) -> pd.DataFrame:
