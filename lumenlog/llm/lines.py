@@ -1,4 +1,4 @@
-"""Line dedup (native): hashes of the least runs of lines that count, places met by hash, later repeated runs deleted."""
+"""Line dedup (native): winnowing over line hashes, window minima met by hash, windows around them matched, later repeated runs deleted."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from lumenlog.llm.common import discard, materialize, table
 #: A line ends at a line feed, after a sentence, or before a capital that follows a small letter; it keeps its white space.
 LINE = r"(?<=[\n ])(?:(?<=\n)|(?<=[\p{L}\p{N}][.!?] )|(?<=\p{Ll} )(?=\p{Lu}))"
 MIN_RUN_WORDS = 30  # shorter repeated runs stay: they are boilerplate or chance
-BROADCAST_ROWS = 200_000
+BROADCAST_RANGES = 400_000  # of repeated runs, over all texts: 16 MB or so
+BROADCAST_FINGERPRINTS = 1_000_000  # of 8 bytes
 _TRIED = 6  # run lengths that are tried one by one before all up to the most lines are summed
 
 _PLAIN = r"transform(lines, x -> lower(trim(translate(x, '\n\t\r', '   '))))"
@@ -31,10 +32,12 @@ _ENDS = f"""transform(sequence(1, greatest(1, n)), i -> coalesce(case
 _LEAST_RUNS = """flatten(flatten(transform(array(named_struct('e', e, 'h', h, 'at', at, 'n', n, 'size', size)), v ->
   transform(filter(sequence(1, greatest(1, v.n)), i -> v.e[i - 1] <= v.n), i -> transform(
     sequence(v.e[i - 1], greatest(v.e[i - 1], coalesce(get(v.e, i), v.n + 1) - 1)),
-    j -> named_struct('k', xxhash64(transform(sequence(i, j), t -> v.h[t - 1])), 'a', if(v.at is null or i = 1, i, v.at[i - 1]), 'b', if(v.at is null, j, coalesce(get(v.at, j), v.size + 1) - 1)))))))"""
+    j -> named_struct('k', xxhash64(transform(sequence(i, j), t -> v.h[t - 1])), 'f', array_min(transform(sequence(i, j), t -> struct(v.h[t - 1] as h, t as p))), 'a', if(v.at is null or i = 1, i, v.at[i - 1]), 'b', if(v.at is null, j, coalesce(get(v.at, j), v.size + 1) - 1)))))))"""
 #: Within a text a run meets its place before; only the first place is held against other texts.
 _AGAIN = "array_sort(transform(filter(s, (x, i) -> i > 0 and s[greatest(i, 1) - 1].k = x.k), x -> named_struct('a', x.a, 'b', x.b)))"
 _FIRSTS = "filter(s, (x, i) -> i = 0 or s[greatest(i, 1) - 1].k <> x.k)"
+#: The fingerprints of a text: each minimum of a window once, though neighbouring windows share it.
+_PRINTS = "array_distinct(transform(s, x -> x.f))"
 
 
 def _joined(runs: str) -> str:
@@ -50,13 +53,17 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """`doc_id, th, runs`: per text (th: its xxhash64) the ranges of lines, from 1, that repeat an earlier place.
 
     1. Texts become arrays of line hashes, once and without a shuffle. Blank lines have no part in it.
-    2. The shortest run of 30 words or more from each line and to each line is hashed as a whole. Any longer run is
-       the union of those inside it, so a line is repeated if and only if one of its runs is: no choice of
-       fingerprints can miss a run, and none depends on which other texts hold parts of it.
-    3. A run said again in one text meets its place before there. The first text of every hash is a partial
+    2. A window is a shortest run of 30 words or more from a line, or to a line. Its fingerprint is its least line
+       hash, with the line it stands at; neighbouring windows mostly share theirs. A window that repeats has its
+       fingerprint again at the other place, so a fingerprint that stands at one line of the whole corpus clears all
+       windows that it is the least of. Only fingerprints are counted over the corpus, by partial aggregation.
+    3. Around fingerprints met at two lines or more matches are extended to both sides: the windows that hold them are
+       hashed whole and meet by that hash. Any longer run is the union of the windows inside it, so a line is repeated
+       if and only if one of its windows is: no choice of fingerprints can miss a run, and each meets its own first copy.
+    4. A run said again in one text meets its place before there. The first text of every hash is a partial
        aggregation of numbers; the first places of later texts join it. One row stands on that side of each key, so
        a passage that most texts hold makes no more rows than it has places.
-    4. The ranges of each text are joined to the longest ones.
+    5. The ranges of each text are joined to the longest ones.
 
     Every line deleted equals one at a smaller place, so the first copy of each passage stays; blank lines that
     follow a deleted line, or precede it at the head of a text, go with it.
@@ -66,14 +73,20 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     plain = split.select("doc_id", "th", F.expr(_PLAIN).alias("plain")).withColumn("real", F.expr("filter(plain, x -> x <> '')"))
     hashed = plain.select("doc_id", "th", F.size("plain").alias("size"), F.size("real").alias("n"), F.expr(_AT).alias("at"), F.expr(_HASHES).alias("h"), F.expr(_WORDS).alias("w"))
     placed = hashed.withColumn("e", F.expr(_ENDS)).select("doc_id", "th", F.array_sort(F.expr(_LEAST_RUNS)).alias("s"))
-    placed = materialize(placed.select("doc_id", "th", F.expr(_joined(_AGAIN)).alias("again"), F.expr(_FIRSTS).alias("firsts")), "places")
-    places = placed.select("doc_id", "th", F.explode("firsts").alias("x")).select("doc_id", "th", "x.k", "x.a", "x.b")
+    firsts = F.expr(f"transform({_FIRSTS}, x -> struct(x.f.h as f, x.k as k, x.a as a, x.b as b))")
+    placed = materialize(placed.select("doc_id", "th", F.expr(_joined(_AGAIN)).alias("again"), F.expr(_PRINTS).alias("prints"), firsts.alias("firsts")), "places")
+    # The rows of one id and text are equal: they are compared within, and their lines count once.
+    lines_of = placed.select("doc_id", "th", F.explode("prints").alias("x")).select(F.col("x.h").alias("f"), F.xxhash64("doc_id", "th", "x.p").alias("at"))
+    met = lines_of.groupBy("f").agg((F.min("at") < F.max("at")).alias("twice")).where("twice").select("f")
+    met = materialize(met, "fingerprints")
+    known = F.broadcast(met) if met.count() <= BROADCAST_FINGERPRINTS else met
+    places = placed.select("doc_id", "th", F.explode("firsts").alias("x")).select("doc_id", "th", "x.f", "x.k", "x.a", "x.b").join(known, "f", "left_semi")
     first = places.groupBy("k").agg(F.min("doc_id").alias("fdoc"), F.max("doc_id").alias("last")).where("fdoc < last").select("k", "fdoc")
     across = places.join(first, "k").where("fdoc < doc_id").select("doc_id", "th", "a", "b")
     within = placed.select("doc_id", "th", F.explode("again").alias("x")).select("doc_id", "th", "x.a", "x.b")
     found = across.union(within).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("s"))
     out = materialize(found.select("doc_id", "th", F.expr(_joined("s")).alias("runs")), "runs")
-    discard(placed)
+    discard(placed, met)
     return out
 
 
@@ -84,10 +97,11 @@ def drop_repeated_runs(docs: DataFrame) -> DataFrame:
     or another document. Texts without such runs stay as they are, to the byte; what is left of the others is joined
     without change. A text that consists of repeated runs alone becomes empty. Null and empty texts and rows without
     an id pass through; rows that share an id are compared each, equal rows of one id both stay. An empty table gives
-    no rows. The runs found are broadcast only after counting them, else joined by a shuffle.
+    no rows. The runs found are broadcast only after counting
+    their ranges, else joined by a shuffle. Long texts take time in proportion to their lines.
     """
     found = repeated_runs(docs).select(F.col("doc_id").alias("of"), "th", "runs")
-    if found.count() <= BROADCAST_ROWS:
+    if (found.agg(F.sum(F.size("runs"))).first()[0] or 0) <= BROADCAST_RANGES:  # a text has one range at least
         found = F.broadcast(found)
     names = [c for c in docs.columns if c != "lines_removed"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text"))
