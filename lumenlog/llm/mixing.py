@@ -10,14 +10,8 @@ from lumenlog.llm.common import materialize, table, word_count
 CAP = 3.0
 BROADCAST_SOURCES = 100_000
 OWN = ["size", "source_size", "target", "copies", "taken"]
-STEPS = 128  # seeds that are tried for each source
-#: The seed of a source: its draws are turned by each 128th of the circle, and the turn whose copies come nearest to the
-#: target is taken. `cells` holds the words drawn in each 128th; cum[i] those before the i-th, going round twice.
-_START = f"""transform(array(named_struct('w', transform(sequence(0, {2 * STEPS - 1}), i -> coalesce(try_element_at(cells, i % {STEPS}), 0L)))),
-  q -> transform(array(transform(sequence(0, {2 * STEPS}), i -> aggregate(slice(q.w, 1, i), 0L, (a, x) -> a + x))),
-    cum -> array_min(transform(sequence(0, {STEPS - 1}), s -> named_struct(
-      'd', abs(cast(cum[s + whole] - cum[s] as double) + (x - whole) * cast(q.w[s + whole] as double) - x / {STEPS}.0D * source_size), 's', s))).s)[0])[0]"""
-
+SEEDS = 512  # that are tried for each source
+CIRCLE = 2**32
 
 def source_targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
     """Per source of `sizes(source, source_size)`: weight, target and rate; other columns stay.
@@ -43,19 +37,19 @@ def source_targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
     return out.select("source", F.col("source_size").cast("long").alias("source_size"), "weight", "target", rate.alias("rate"), *more)
 
 
-def uniform(key: Column, seed: str) -> Column:
-    """A number in [0, 1) from the first 13 hex digits of an md5, the same in every engine and run."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+def drawn(key: Column, seed: str, at: int) -> Column:
+    """A whole number below 2^32 from 8 hex digits of an md5, the same in every engine and run."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), at, 8), 16, 10).cast("long")
 
 
 def mix_plan(docs: DataFrame, cap: float = CAP, seed: str = "mix", payload: list[str] | None = None) -> DataFrame:
     """`docs` with `size, source_size, target, copies, taken`: the copies of each document are floor(rate) plus one
     Bernoulli copy, seeded by a hash of its id (and text hash), with probability equal to the fraction.
 
-    The draw of a document is a point on a circle and its copy is taken if that lies within `fraction` of the circle
-    from where its source starts. Of 128 starts, the seeds of a source, that one is taken whose copies come nearest to
-    its target: one aggregation to 128 numbers a source tells. So takings miss targets by about a 128th of the
-    source's words or by half a very long document, not by the chance of all draws.
+    A document draws a point u and a step v; under seed j its point is u + j*v on a circle of 2^32, and its copy is
+    taken if that lies within `fraction` of the circle. Each source takes that one of 512 seeds whose copies come
+    nearest to its target: one aggregation to 512 numbers a source tells. So what a source takes misses its target by
+    the least of 512 independent chances.
 
     Null text has size 0; a null source is a source of its own; rows that share id and text get the same copies;
     no rows give no rows. A source's rate is target/size and never above `cap`, so neither are the copies.
@@ -66,18 +60,24 @@ def mix_plan(docs: DataFrame, cap: float = CAP, seed: str = "mix", payload: list
     names = [c for c in (docs.columns if payload is None else payload) if c not in OWN]
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit(""))))
     row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None)
-    base = docs.select("source", word_count("text").alias("size"), (uniform(key, seed) * STEPS).alias("u"), row.alias("row"))
+    base = docs.select("source", word_count("text").alias("size"), drawn(key, seed, 1).alias("u"), drawn(key, seed, 9).alias("v"), row.alias("row"))
     if names == ["doc_id"]:
         base = materialize(base, "draws")
-    cells = base.groupBy("source", F.floor("u").cast("int").alias("cell")).agg(F.sum("size").alias("w"))
-    sizes = cells.groupBy("source").agg(F.sum("w").alias("source_size"), F.map_from_entries(F.collect_list(F.struct("cell", "w"))).alias("cells"))
-    rated = source_targets(sizes, cap).withColumn("x", (F.col("rate") - F.floor("rate")) * STEPS).withColumn("whole", F.floor("x").cast("int"))
-    targets = materialize(rated.select(F.col("source").alias("of"), "source_size", "target", "rate", "x", F.expr(_START).alias("start")), "targets")
-    if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    joined = base.join(targets, F.col("source").eqNullSafe(F.col("of")), "left")
-    turned = F.when(F.col("u") >= F.col("start"), F.col("u") - F.col("start")).otherwise(F.col("u") - F.col("start") + STEPS)
-    copies = (F.floor("rate") + F.when(turned < F.col("x"), 1).otherwise(0)).cast("long")
+    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rated = source_targets(sizes, cap).select(F.col("source").alias("of"), "source_size", "target", "rate", ((F.col("rate") - F.floor("rate")) * CIRCLE).alias("within"))
+    rated = materialize(rated, "targets")
+    few = rated.count() <= BROADCAST_SOURCES
+    at_hand = lambda df: F.broadcast(df) if few else df
+    tried = base.where("size > 0").select("source", "size", "u", "v").join(at_hand(rated), F.col("source").eqNullSafe(F.col("of"))).where("within > 0")
+    point = lambda j: F.pmod(F.col("u") + j * F.col("v"), F.lit(CIRCLE))
+    tried = tried.select("of", "size", "within", "source_size", "u", "v", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))).alias("j"))
+    sums = tried.groupBy("of", "j").agg(F.sum(F.when(point(F.col("j")) < F.col("within"), F.col("size")).otherwise(0)).alias("w"), F.max("within").alias("within"), F.max("source_size").alias("total"))
+    miss = F.abs(F.col("w") - F.col("within") / CIRCLE * F.col("total"))
+    seeds = sums.groupBy("of").agg(F.min_by("j", F.struct(miss, "j")).alias("j"))
+    chosen = seeds.select(F.col("of").alias("for"), "j")
+    targets = materialize(rated.join(chosen, F.col("of").eqNullSafe(F.col("for")), "left").select("of", "source_size", "target", "rate", "within", F.coalesce("j", F.lit(0)).alias("j")), "seeds")
+    joined = base.join(at_hand(targets), F.col("source").eqNullSafe(F.col("of")), "left")
+    copies = (F.floor("rate") + F.when(point(F.col("j")) < F.col("within"), 1).otherwise(0)).cast("long")
     return joined.select(*[F.col("row").getField(c).alias(c) for c in names], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
@@ -113,30 +113,20 @@ WITH d AS (
 ), t AS (
   SELECT source, ss, least(ceiling, max(level) OVER () * weight) AS target FROM l
 ), k AS MATERIALIZED (
-  SELECT d.doc_id, d.size, d.source,
-         CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || md5(coalesce(d.text, ''))), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 * 128 AS u
-  FROM d
-), r AS (
-  SELECT *, (rate - floor(rate)) * 128 AS x, CAST(floor((rate - floor(rate)) * 128) AS BIGINT) AS whole
-  FROM (SELECT *, CASE WHEN ss > 0 THEN target / ss ELSE 0.0 END AS rate FROM t)
-), cells AS (
-  SELECT source, CAST(floor(u) AS BIGINT) AS cell, sum(size) AS w FROM k GROUP BY 1, 2
-), grid AS MATERIALIZED (
-  SELECT g.source, g.i, coalesce(c.w, 0) AS w,
-         coalesce(sum(coalesce(c.w, 0)) OVER (PARTITION BY g.source ORDER BY g.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum
-  FROM (SELECT source, unnest(range(256)) AS i FROM t) g LEFT JOIN cells c ON c.source IS NOT DISTINCT FROM g.source AND c.cell = g.i % 128
+  SELECT doc_id, size, source, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS u, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS v
+  FROM (SELECT *, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h FROM d)
+), r AS MATERIALIZED (
+  SELECT *, (rate - floor(rate)) * 4294967296 AS inside FROM (SELECT *, CASE WHEN ss > 0 THEN target / ss ELSE 0.0 END AS rate FROM t)
 ), tries AS (
-  SELECT r.source, a.i AS s, abs(CAST(b.cum - a.cum AS DOUBLE) + (r.x - r.whole) * CAST(b.w AS DOUBLE) - r.x / 128.0 * r.ss) AS d
-  FROM r JOIN grid a ON a.source IS NOT DISTINCT FROM r.source AND a.i < 128
-         JOIN grid b ON b.source IS NOT DISTINCT FROM r.source AND b.i = a.i + r.whole
+  SELECT k.source, s.j, abs(sum(CASE WHEN (k.u + s.j * k.v) % 4294967296 < r.inside THEN k.size ELSE 0 END) - max(r.inside) / 4294967296 * max(r.ss)) AS d
+  FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source CROSS JOIN (SELECT unnest(range(512)) AS j) s
+  WHERE k.size > 0 AND r.inside > 0 GROUP BY k.source, s.j
 ), seeds AS (
-  SELECT source, arg_min(s, (d, s)) AS start FROM tries GROUP BY source
+  SELECT source, arg_min(j, struct_pack(d := d, j := j)) AS j FROM tries GROUP BY source
 ), j AS (
-  SELECT k.doc_id, k.size, CAST(r.ss AS BIGINT) AS source_size, r.target, r.rate, r.x,
-         CASE WHEN k.u >= o.start THEN k.u - o.start ELSE k.u - o.start + 128 END AS v
-  FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source JOIN seeds o ON k.source IS NOT DISTINCT FROM o.source
+  SELECT k.doc_id, k.size, CAST(r.ss AS BIGINT) AS source_size, r.target, r.rate, r.inside, (k.u + coalesce(o.j, 0) * k.v) % 4294967296 AS p
+  FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source LEFT JOIN seeds o ON k.source IS NOT DISTINCT FROM o.source
 )
-SELECT doc_id, size, source_size, target,
-       CAST((floor(rate) + CASE WHEN v < x THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN p < inside THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM j
 """
