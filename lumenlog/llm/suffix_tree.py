@@ -2,9 +2,9 @@
 
 Symbols are the words seen at least `least` times in training, one class for all other words, the end of a text and its
 start. A context is a run of up to `depth` symbols within a text; those seen `least` times are counted with their next
-symbols over the whole corpus, and retained if the divergence test speaks for them. `least` is half the square root of
-the N training tokens: twice the data has 1.4 times the words and contexts of its own, and 2*sqrt(N) bounds the words
-and the contexts of each depth. A token's probability is that of its symbol in the longest retained suffix of what
+symbols over the whole corpus, and retained if the divergence test speaks for them. `least` is 5e-5
+of the N training tokens, from 100 million tokens on half their square root: words and contexts of each depth are
+bounded by 20,000 or 2*sqrt(N), whichever is more, and grow with the data. A token's probability is that of its symbol in the longest retained suffix of what
 precedes it; a word of the class has besides its share of the class, by discounted counts that leave the unseen words
 what the words seen once suggest.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lumenlog.llm.common import batches, discard, encode_words, materialize, mix64, table, words_of
 
 DEPTH = 4  # symbols of the longest context
-ROOT_SHARE = 0.5  # a word or context counts from ROOT_SHARE * sqrt(N) occurrences on
+ROOT_SHARE, SHARE = 0.5, 5e-5  # a word or context counts from the lesser of ROOT_SHARE * sqrt(N) and SHARE * N occurrences on
 PAIR_SHARE = 32  # next symbols rarer than 1/PAIR_SHARE of that are left to the shorter contexts: so pairs are bounded too
 DIVERGENCE = 12.0  # nats that a context must save beyond the cost of naming the symbols that follow it
 OTHER, END, START = 0, 1, 2  # symbols; words follow
@@ -258,6 +258,11 @@ def _add(key: tuple, rows: pa.Table) -> pa.Table:
     return one.append_column("counts", pa.array([total.tobytes()], pa.binary()))
 
 
+def least_count(total: int) -> float:
+    """The occurrences from which words and contexts count: at most the greater of 20,000 and 2*sqrt(N) of them can be."""
+    return max(2.0, min(SHARE * total, ROOT_SHARE * math.sqrt(total)))
+
+
 def learn(blocks: DataFrame, symbols: list[str], total: int, depth: int = DEPTH, least: float | None = None) -> SuffixTree:
     """The tree from the training texts of `blocks`, in three passes over them.
 
@@ -268,9 +273,9 @@ def learn(blocks: DataFrame, symbols: list[str], total: int, depth: int = DEPTH,
     3. Next symbols are counted for these. A context's pairs come to the driver if they are seen least/32 times: at
        most 32*N/least of each depth.
 
-    With the default least count each of these bounds is a multiple of sqrt(N)."""
+    With the default least count each of these bounds is a multiple of 20,000 or of sqrt(N), whichever is more."""
     spark = blocks.sparkSession
-    least = max(2.0, ROOT_SHARE * math.sqrt(total)) if least is None else least
+    least = least_count(total) if least is None else least
     bits = max(12, math.ceil(math.log2(SKETCH_SLOTS * max(1.0, total / least))))
     source = blocks.select("held", "counts", "stream", "words")
     known = spark.sparkContext.broadcast(pa.array(symbols, pa.string()))
@@ -354,7 +359,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, least: float | None = None)
     total, kinds = (v[1] or 0) + ends, v[0] + (ends > 0)
     once, twice = v[2] or 0, v[3] or 0
     discount = once / (once + 2 * twice) if once else 0.5
-    least = max(2.0, ROOT_SHARE * math.sqrt(total)) if least is None else least
+    least = least_count(total) if least is None else least
     often = sorted(vocabulary.where(F.col("c") >= least).select("word", "c").collect())  # at most N/least rows
     symbols = [r.word for r in often]
     tree = spark.sparkContext.broadcast((learn(blocks, symbols, total, depth, least), pa.array(symbols, pa.string())))
