@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions.text import canon_entity_type, normalize_name
+from lumenlog.sources.scratch import written
 
 
 def extract_mentions(notes: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def resolve_chains(mapping: DataFrame, rounds: int = 20) -> DataFrame:
     for _ in range(rounds):
         hop = live.select(F.col("variant").alias("canonical"), F.col("canonical").alias("onward"))
         moved = live.join(hop, "canonical", "left").select("variant", F.coalesce("onward", "canonical").alias("canonical"), F.col("onward").isNotNull().alias("moved"))
-        moved = moved.checkpoint() if moved.sparkSession.sparkContext.getCheckpointDir() else moved.persist()
+        moved = written(moved, "chains")
         looped = moved.where("variant = canonical").limit(1).count()
         if looped:
             raise ValueError("mapping has a cycle")

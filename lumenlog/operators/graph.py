@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions.text import canon_edge_type
 from lumenlog.operators.joins import degree, induced_edges, neighbors, resolve
+from lumenlog.sources.scratch import written
 
 # How far an edge of each type carries relevance.
 EDGE_WEIGHTS = {
@@ -38,12 +39,21 @@ def build_edges(proposals: DataFrame, entities: DataFrame, base: DataFrame | Non
     return merge_edges(found if base is None else found.unionByName(base)), rows.where(missing).select("from_name", "to_name", "edge_type")
 
 
+PAIR_BUCKETS = 1 << 20
+
+
 def cooccurrence_edges(links: DataFrame, min_support: int = 1, tile: int = 256) -> DataFrame:
     """Pairs of entities that share notes, with the notes they share and a weight relative to the most.
 
     A note of more than `tile` entities is split in tiles, and each pair of tiles is joined under a key of its own, so
-    no task holds the square of a large note; smaller ones are one tile, sent once."""
+    no task holds the square of a large note; smaller ones are one tile, sent once.
+
+    With `min_support` above 1 entities of fewer notes go before pairs are made, and pairs are first counted by a hash
+    into `PAIR_BUCKETS` numbers: only pairs of a number that reaches the support are counted for themselves."""
     one = links.select("note_id", "entity_id").where("note_id is not null and entity_id is not null").distinct()
+    if min_support > 1:
+        often = one.groupBy("entity_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_support).select("entity_id")
+        one = written(one.join(often, "entity_id", "left_semi"), "often")
     tiles = F.ceil(F.count("*").over(Window.partitionBy("note_id")) / tile).cast("int")
     dealt = one.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.hash("entity_id"), F.col("tiles")))
     dealt = dealt.select("note_id", "entity_id", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
@@ -51,6 +61,10 @@ def cooccurrence_edges(links: DataFrame, min_support: int = 1, tile: int = 256)
     a = cells.select("note_id", "low", "high", F.col("entity_id").alias("from_id"), F.col("tile").alias("from_tile"))
     b = cells.select("note_id", "low", "high", F.col("entity_id").alias("to_id"), F.col("tile").alias("to_tile"))
     pairs = a.join(b, ["note_id", "low", "high"]).where("from_id < to_id and (low = high or from_tile <> to_tile)")
+    if min_support > 1:
+        number = F.pmod(F.xxhash64("from_id", "to_id"), F.lit(PAIR_BUCKETS)).alias("number")
+        full = written(pairs.groupBy(number).agg(F.count("*").alias("n")).where(F.col("n") >= min_support).select("number"), "numbers")
+        pairs = pairs.withColumn("number", number).join(F.broadcast(full), "number", "left_semi")  # PAIR_BUCKETS numbers at most
     counts = pairs.groupBy("from_id", "to_id").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
     top = counts.agg(F.max("support").alias("most"))
     return counts.join(top, F.lit(True)).select("from_id", "to_id", "support", F.round(F.col("support") / F.col("most"), 6).alias("weight"))
@@ -65,8 +79,8 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, min_weight: float
     """Entities within `hops` of the seeds: `(entity_id, hop, relevance)`.
 
     Relevance of an edge: weight times its type's factor, divided by hop+1 (first hop: 1). Each entity keeps the hop
-    that reaches it first and the greatest relevance there. One join a hop; each frontier is checkpointed if the
-    session has a checkpoint folder."""
+    that reaches it first and the greatest relevance there. One join a hop; each frontier is written
+    to the shared folder."""
     factors = F.create_map(*[F.lit(x) for pair in EDGE_WEIGHTS.items() for x in pair])
     live = edges.where(F.col("weight") >= min_weight)
     if types:
@@ -75,21 +89,14 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, min_weight: float
     both = live.unionByName(live.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "pull"))
     visited = seeds.select("entity_id").distinct().select("entity_id", F.lit(0).alias("hop"), F.lit(1.0).alias("relevance"))
     frontier = visited
-    durable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     for hop in range(1, hops + 1):
         step = frontier.select(F.col("entity_id").alias("from_id")).join(both, "from_id").groupBy(F.col("to_id").alias("entity_id")).agg(F.max(F.col("pull") / hop).alias("relevance"))
         frontier = step.join(visited.select("entity_id"), "entity_id", "left_anti").select("entity_id", F.lit(hop).alias("hop"), "relevance")
-        if durable:
-            frontier = frontier.checkpoint()
+        frontier = written(frontier, "frontier")
         visited = visited.unionByName(frontier)
     return visited.where("hop > 0").select("entity_id", "hop", F.round("relevance", 6).alias("relevance")).orderBy(F.col("relevance").desc(), "hop", "entity_id").limit(n)
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Cut off from its lineage, if the session has a checkpoint folder."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
 def paths(edges: DataFrame, a, b, max_hops: int = 3) -> DataFrame:
     """All shortest paths from `a` to `b` of at most `max_hops` edges, both directions allowed.
 
@@ -104,7 +111,7 @@ def paths(edges: DataFrame, a, b, max_hops: int = 3) -> DataFrame:
     while hops < max_hops and (hops > 0 or a != b):
         side = hops % 2
         step = sides[side][-1].join(both, F.col("at") == F.col("from_id")).select(F.col("to_id").alias("at")).distinct()
-        sides[side].append(_settled(step.join(seen[side], "at", "left_anti")))
+        sides[side].append(written(step.join(seen[side], "at", "left_anti")))
         seen[side] = seen[side].union(sides[side][-1])
         meet = sides[0][-1].join(sides[1][-1], "at", "left_semi")
         hops += 1
@@ -124,14 +131,14 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of `(a, b)`: `(node, component)`, named by the smallest node; joins and aggregations alone.
 
     Each round takes the least label of the neighbours and then the label of the label, until nothing changes; each is
-    cut by a checkpoint if the session has a checkpoint folder."""
-    both = _settled(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    written to the shared folder."""
+    both = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
     labels = both.groupBy("a").agg(F.least("a", F.min("b")).alias("label"))
     while True:
         near = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
         step = labels.join(near, "a").select("a", F.least("label", "near").alias("label"), F.col("label").alias("before"))
         onward = step.select(F.col("a").alias("label"), F.col("label").alias("onward"))
-        moved = _settled(step.join(onward, "label").select("a", F.least("label", "onward").alias("label"), "before"))
+        moved = written(step.join(onward, "label").select("a", F.least("label", "onward").alias("label"), "before"))
         labels = moved.select("a", "label")
         if moved.where("label <> before").isEmpty():
             return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))

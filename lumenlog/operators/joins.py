@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenlog.sources.scratch import written
+
 _HOUR = "interval 1 hour"
 
 
@@ -196,3 +198,66 @@ def potential_duplicates(entities: DataFrame, threshold: float = 0.8) -> DataFra
     alike = similar_pairs(names, threshold).join(ends("name_a", "a"), ["entity_type", "name_a"]).join(ends("name_b", "b"), ["entity_type", "name_b"]).select("a", "b")
     groups = components(equal.unionByName(alike).where("a <> b"))
     return groups.select(F.col("node").alias("entity_id"), F.col("component").alias("group_id")).join(entities.select("entity_id", "entity_type", "canonical_name"), "entity_id").select("group_id", "entity_id", "entity_type", "canonical_name")
+
+
+def levenshtein_pairs(names: DataFrame, k: int) -> DataFrame:
+    """J12 by edits: pairs of different names of one type, ignoring case, at most `k` edits apart: `(entity_type, name_a, name_b, distance)`.
+
+    A name is cut into k+1 segments. Of a name within k edits one segment is left whole, moved by k places at most, so
+    every pair meets at (length of the shorter one, segment, its text): the shorter looks up nothing, the longer its own
+    pieces of those lengths. What meets is verified with a bound. Null and empty names are in no pair."""
+    one = names.select("entity_type", F.lower("name").alias("name")).where("entity_type is not null and name <> ''").distinct()
+    one = one.withColumn("n", F.length("name"))
+    cut = lambda n, i: F.floor(n * i / (k + 1)).cast("int")  # noqa: E731  where segment i of a name of n characters begins
+    own = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("name", cut(F.col("n"), i) + 1, cut(F.col("n"), i + 1) - cut(F.col("n"), i)).alias("part")) for i in range(k + 1)])
+    index = one.select("entity_type", F.col("name").alias("x"), F.col("n").alias("length"), F.explode(own).alias("s")).select("entity_type", "x", "length", "s.i", "s.part")
+    tries = F.explode(F.array(*[F.struct((F.col("n") - less).alias("length"), F.lit(i).alias("i"), F.lit(by).alias("by")) for less in range(k + 1) for i in range(k + 1) for by in range(-k, k + 1)]))
+    asked = one.select("entity_type", F.col("name").alias("y"), "n", tries.alias("t")).select("entity_type", "y", "n", "t.*").where("length > 0")
+    at = cut(F.col("length"), F.col("i")) + F.col("by")
+    size = cut(F.col("length"), F.col("i") + 1) - cut(F.col("length"), F.col("i"))
+    asked = asked.where((at >= 0) & (at + size <= F.col("n"))).select("entity_type", "y", "length", "i", F.substring("y", at + 1, size).alias("part")).distinct()
+    met = index.join(asked, ["entity_type", "length", "i", "part"]).where("x <> y").select("entity_type", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
+    return met.withColumn("distance", F.levenshtein("name_a", "name_b", k)).where("distance >= 0")
+
+
+def greedy_groups(entities: DataFrame, threshold: float = 0.8, max_rounds: int = 10_000) -> DataFrame:
+    """E05, greedy: `(group_id, entity_id, entity_type, canonical_name)`, groups of two or more, named by their first entity.
+
+    In the order of (canonical name, id), an entity that no earlier group has takes all later ones of its type that
+    are like it by any of their names (equal, or similar by J12) and not yet taken. What is like a member but not like
+    the first stays out, so unlike names don't chain up as in `potential_duplicates`.
+
+    An entity leads a group unless an earlier leader is like it. In rounds, every open entity that comes before all
+    open ones like it leads, and those like it are closed; at the end each goes to its earliest leader, as in a loop.
+    Least ranks pass through names, an entity's to its names, a name's to those like it and back: pairs of entities
+    are never made, whatever they share. Rounds are about as many as the longest run of ever later entities each like
+    the one before."""
+    every = F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    ranked = entities.select("entity_id", "entity_type", "canonical_name", F.struct("canonical_name", "entity_id").alias("rank"), every.alias("every"))
+    names = written(ranked.select("entity_id", "entity_type", "rank", F.explode("every").alias("name")).select("entity_id", "entity_type", "rank", F.lower("name").alias("name")).where("entity_type is not null and name <> ''").distinct(), "names")
+    pairs = similar_pairs(names.select("entity_type", "name"), threshold)
+    own = names.select("entity_type", "name", F.col("name").alias("other"))
+    both = pairs.select("entity_type", F.col("name_a").alias("name"), F.col("name_b").alias("other"))
+    near = written(both.unionByName(both.select("entity_type", F.col("other").alias("name"), F.col("name").alias("other"))).unionByName(own).distinct(), "near")
+
+    def least(of: DataFrame) -> DataFrame:
+        """`(entity_id, least)`: the least rank among the entities `of` that an entity is like, itself included."""
+        held = names.join(of, "entity_id", "left_semi").groupBy("entity_type", "name").agg(F.min("rank").alias("r"))
+        over = near.join(held.withColumnRenamed("name", "other"), ["entity_type", "other"]).groupBy("entity_type", "name").agg(F.min("r").alias("r"))
+        return names.join(over, ["entity_type", "name"]).groupBy("entity_id").agg(F.min("r").alias("least"), F.first("rank").alias("rank"))
+
+    still = names.select("entity_id").distinct()
+    leaders = None
+    for _ in range(max_rounds):
+        led = written(least(still).join(still, "entity_id", "left_semi").where("least = rank").select("entity_id"), "led")
+        if led.isEmpty():
+            break
+        leaders = led if leaders is None else written(leaders.unionByName(led), "leaders")
+        still = written(still.join(least(led).select("entity_id"), "entity_id", "left_anti"), "still")
+    else:
+        raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
+    if leaders is None:
+        return ranked.select(F.col("entity_id").alias("group_id"), "entity_id", "entity_type", "canonical_name").limit(0)
+    groups = written(least(leaders).select("entity_id", F.col("least.entity_id").alias("group_id")), "groups")
+    several = groups.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
+    return groups.join(several, "group_id").join(ranked.select("entity_id", "entity_type", "canonical_name"), "entity_id").select("group_id", "entity_id", "entity_type", "canonical_name")

@@ -305,7 +305,7 @@ def i05_keys(spark, d):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    from lumenlog.plans.catalog_streams import shared_folder
+    from lumenlog.sources.scratch import shared_folder
 
     return f"{shared_folder(spark)}/lumenlog-{name}-{uuid.uuid4().hex}"
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.plans import base as B
 from lumenlog.plans.base import with_
+from lumenlog.sources.scratch import shared_folder
 from lumenlog.sources.tables import read_samples
 from lumenlog.streaming import streams as T
 
@@ -19,14 +19,6 @@ ORACLES: dict[str, str] = {}
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where none is set and all runs in this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (base or "file://" + tempfile.mkdtemp(prefix="lumenlog-")).rstrip("/")
-
-
 def _shared(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/lumenlog-stream-{uuid.uuid4().hex}"
 

@@ -92,6 +92,95 @@ def stream_spans(samples: DataFrame, delay: str = "1 hour", idle: float | None =
     return marked.groupBy("user_id").transformWithStateInPandas(SpanTracker(idle), SPAN_SCHEMA, "Append", "EventTime")
 
 
+class InOrder(StatefulProcessor):
+    """Rows of a key wait until the watermark is past them and are then worked off by time and id, late ones in their place.
+
+    `waits`: their columns, (ts, event_id) first. A subclass names what it remembers and makes a row from each."""
+
+    waits = "ts timestamp, event_id long"
+    remembers = "at timestamp"
+
+    def __init__(self, key: list[str], silence: float | None = None):
+        self.key, self.silence = key, None if silence is None else timedelta(seconds=silence)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.waits)
+        self.memory = handle.getValueState("memory", self.remembers)
+
+    def step(self, memory: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        """What is remembered after a row, and the values that the row gets."""
+        raise NotImplementedError
+
+    def _wake(self, at: datetime) -> None:
+        self.handle.registerTimer(int(at.replace(tzinfo=timezone.utc).timestamp() * 1000) + 1)
+
+    def _release(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        limit = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms").to_pydatetime()
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
+        ready = [r for r in rows if r[0] <= limit]
+        if len(ready) < len(rows):
+            self.waiting.put(rows[len(ready) :])
+            self._wake(rows[len(ready)][0])
+        elif rows:
+            self.waiting.clear()
+        memory, out = tuple(self.memory.get()) if self.memory.exists() else None, []
+        for row in ready:
+            if memory is not None and self.silence is not None and row[0] - memory[0] > self.silence:
+                memory = None
+            memory, values = self.step(memory, row)
+            out.append((*key, row[1], *values))
+        if memory is not None and self.silence is not None and limit - memory[0] > self.silence:
+            memory = None
+        if memory is not None:
+            self.memory.update(memory)
+            if self.silence is not None:
+                self._wake(memory[0] + self.silence)
+        elif self.memory.exists():
+            self.memory.clear()
+        yield pd.DataFrame(out, columns=[*self.key, "event_id", *self.gives])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in self.waits.split(", ")]
+        plain = lambda v: None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v
+        got = [tuple(plain(v) for v in r) for pdf in rows for r in pdf[names].itertuples(index=False)]
+        if got:
+            self.waiting.appendList(got)
+        yield from self._release(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
+        yield from self._release(key, timerValues)
+
+    def close(self) -> None:
+        pass
+
+
+class OrderedDups(InOrder):
+    """A frame within the threshold of the one before it is a duplicate."""
+
+    waits, remembers, gives = "ts timestamp, event_id long, fingerprint string", "at timestamp, fingerprint string", ["is_dup"]
+    threshold = 5
+
+    def step(self, memory, row):
+        near = memory is not None and (int(memory[1], 16) ^ int(row[2], 16)).bit_count() <= self.threshold
+        return (row[0], row[2]), (near,)
+
+
+class Throttle(InOrder):
+    """The first reading of each slot of time counts; other rows carry the last one on."""
+
+    waits, remembers, gives = "ts timestamp, event_id long, value double", "at timestamp, slot long, value double", ["carried"]
+    seconds = 60
+
+    def step(self, memory, row):
+        slot = int(row[0].replace(tzinfo=timezone.utc).timestamp() // self.seconds)
+        fresh = memory is None or memory[1] != slot
+        last = None if memory is None else memory[2]
+        value = row[2] if fresh and row[2] is not None else last
+        return (row[0], slot, value), (value,)
+
+
 class DupFilter(StatefulProcessor):
     """Keeps the last fingerprint of a key; a frame within the threshold of it is a duplicate."""
 
@@ -115,21 +204,47 @@ class DupFilter(StatefulProcessor):
         pass
 
 
-def stream_drop_dups(frames: DataFrame, threshold: int = 5, key: tuple[str, ...] = ("user_id",), ttl: int | None = None) -> DataFrame:
-    """ST2: `(*key, event_id, is_dup)` per frame, in the order of arrival between batches and of time within one.
+def _keyed(df: DataFrame, key: tuple[str, ...]) -> str:
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    return ", ".join([*(f"{c} {types[c]}" for c in key), "event_id long"])
+
+
+def stream_drop_dups(frames: DataFrame, threshold: int = 5, key: tuple[str, ...] = ("user_id",), ttl: int | None = None, delay: str | None = None, silence: float | None = None) -> DataFrame:
+    """ST2: `(*key, event_id, is_dup)` per frame.
 
-    A key that sends nothing for `ttl` milliseconds of processing time is forgotten (None: never), so its next frame is
-    kept; such a stream runs on without data, so it is meant for triggers that don't wait for its end."""
-    types = {f.name: f.dataType.simpleString() for f in frames.schema}
-    schema = ", ".join([*(f"{c} {types[c]}" for c in key), "event_id long", "is_dup boolean"])
+    With `delay` frames wait until the watermark is past them, so the one before is that by time and id, as in W03,
+    however batches come; what is later still is dropped, and a key is forgotten `silence` seconds of event time after its
+    last frame (None: never). Without, in the order of arrival between batches and of time within one, at once; a key
+    that sends nothing for `ttl` milliseconds of processing time is forgotten (None: never), so its next frame is kept;
+    such a stream runs on without data, so it is meant for triggers that don't wait for its end."""
+    schema = _keyed(frames, key) + ", is_dup boolean"
+    if delay is not None:
+        marked = frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+        work = OrderedDups(list(key), silence)
+        work.threshold = threshold
+        return marked.groupBy(*key).transformWithStateInPandas(work, schema, "Append", "EventTime")
     mode = "None" if ttl is None else "ProcessingTime"
     return frames.groupBy(*key).transformWithStateInPandas(DupFilter(list(key), threshold, ttl), schema, "Append", mode)
 
 
-def stream_hourly(samples: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """ST3: events and value per app and hour; late rows past the watermark are dropped."""
+def stream_throttle(readings: DataFrame, seconds: int, key: tuple[str, ...] = ("user_id",), delay: str = "1 hour", silence: float | None = None) -> DataFrame:
+    """ST8: `(*key, event_id, carried)` of `(*key, ts, event_id, value)`: at most the first reading of each interval counts,
+    others carry the last one on, as `throttle_carry` has it.
+
+    Rows wait until the watermark is past them, so late ones stand in their place; a key's state goes `silence` seconds
+    of event time after its last row (None: never), and its next row has nothing to carry on."""
+    marked = readings.withColumns({"ts": F.col("ts").cast("timestamp"), "value": F.col("value").cast("double")}).withWatermark("ts", delay)
+    work = Throttle(list(key), silence)
+    work.seconds = seconds
+    return marked.groupBy(*key).transformWithStateInPandas(work, _keyed(readings, key) + ", carried double", "Append", "EventTime")
+
+
+def stream_hourly(samples: DataFrame, delay: str = "1 hour", tokens: str | None = None) -> DataFrame:
+    """ST3: events per app and hour and, with `tokens` (a column), the sum of those; late rows past the watermark are dropped."""
     marked = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return marked.groupBy(F.window("ts", "1 hour"), "app_id").agg(F.count("*").alias("events")).select(F.col("window.start").alias("hour"), "app_id", "events")
+    sums = [F.count("*").alias("events")] + ([F.sum(tokens).cast("long").alias("tokens")] if tokens else [])
+    out = marked.groupBy(F.window("ts", "1 hour"), "app_id").agg(*sums)
+    return out.select(F.col("window.start").alias("hour"), "app_id", "events", *(["tokens"] if tokens else []))
 
 
 def stream_rates(samples: DataFrame, size: str = "1 hour", slide: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
@@ -157,12 +272,33 @@ def stream_blocklist(samples: DataFrame, blocklist: DataFrame) -> DataFrame:
     return out
 
 
-def stream_frame_span_join(frames: DataFrame, spans: DataFrame, bound: str = "1 hour") -> DataFrame:
-    """ST6: frames with the spans that hold them; spans are no longer than `bound`, which bounds the state."""
+def stream_redact(samples: DataFrame, blocklist: DataFrame, hidden: tuple[str, ...] = ("url", "window_title")) -> DataFrame:
+    """ST5 as capture has it: all rows of a stream with `(app_id, domain)`, blocked ones without what `hidden` names and
+    without domain; adds `blocked` and `blocked_reason` (`app: x` before `domain: y`, the shortest domain blocked)."""
+    live = blocklist.where("enabled")
+    of = lambda kind, name: live.where(F.col("block_type") == kind).select(F.lower("pattern").alias(name)).distinct()
+    out = samples.join(of("app", "__app"), F.lower("app_id") == F.col("__app"), "left")
+    domains, labels = of("domain", "blocked"), F.size(F.split("blocked", r"\."))
+    counts = sorted(r[0] for r in domains.select(labels).distinct().collect())  # numbers of labels, 127 at most
+    for n in counts:
+        some = domains.where(labels == n).withColumnRenamed("blocked", f"__d{n}")
+        out = out.join(some, F.lower(F.substring_index("domain", ".", -n)) == F.col(f"__d{n}"), "left")
+    domain = F.coalesce(*[F.col(f"__d{n}") for n in counts], F.lit(None).cast("string"))
+    reason = F.when(F.col("__app").isNotNull(), F.concat(F.lit("app: "), "__app")).when(domain.isNotNull(), F.concat(F.lit("domain: "), domain))
+    out = out.withColumn("blocked_reason", reason).withColumn("blocked", F.col("blocked_reason").isNotNull())
+    gone = {c: F.when(~F.col("blocked"), F.col(c)) for c in (*hidden, "domain")}
+    return out.withColumns(gone).drop("__app", *[f"__d{n}" for n in counts])
+
+
+def stream_frame_span_join(frames: DataFrame, spans: DataFrame, bound: str = "1 hour", how: str = "inner") -> DataFrame:
+    """ST6: frames with the spans that hold them; spans are no longer than `bound`, which bounds the state.
+
+    With `how="left_outer"` a frame that no span holds comes out with nulls once the watermark is past all spans that
+    could still hold it; until then a span that comes late, but in time, finds it."""
     f = frames.withColumn("f_ts", F.col("ts").cast("timestamp")).select("user_id", "frame_id", "f_ts").withWatermark("f_ts", bound).alias("f")
     s = spans.select(F.col("user_id").alias("s_user"), "span_id", F.col("start_ts").cast("timestamp").alias("s_start"), F.col("end_ts").cast("timestamp").alias("s_end")).withWatermark("s_start", bound).alias("s")
     cond = F.expr(f"user_id = s_user and f_ts >= s_start and f_ts < s_end and f_ts <= s_start + interval {bound}")
-    return f.join(s, cond).select("user_id", "frame_id", "span_id")
+    return f.join(s, cond, how).select("user_id", "frame_id", "span_id")
 
 
 def table_versions(spark: SparkSession, path: str) -> list[int]:
@@ -194,4 +330,4 @@ def upsert_sink(path: str, key: list[str], order: str, keep: int = 3, buckets: i
     return write
 
 
-__all__ = ["apply_blocklist", "latest_version", "stream_blocklist", "stream_drop_dups", "stream_frame_span_join", "stream_hourly", "stream_rates", "stream_sessions", "stream_spans", "table_versions", "upsert_sink"]
+__all__ = ["apply_blocklist", "latest_version", "stream_blocklist", "stream_drop_dups", "stream_frame_span_join", "stream_hourly", "stream_rates", "stream_redact", "stream_sessions", "stream_spans", "stream_throttle", "table_versions", "upsert_sink"]
