@@ -29,14 +29,22 @@ _ENDS = f"""transform(sequence(1, greatest(1, n)), i -> coalesce(case
 #: to a variable: the optimizer would else put what makes them into the inner function, to be done again for each line. slice() copies
 #: the whole array each time, so elements are taken one by one; no filter
 #: stands behind these columns, as it would be pushed below them with all that makes them.
-_LEAST_RUNS = """flatten(flatten(transform(array(named_struct('e', e, 'h', h, 'at', at, 'n', n, 'size', size)), v ->
+def _of_lines(one: str, some: str, all_of: str) -> str:
+    """SQL: a function of the line hashes i to j. Windows have few lines: up to `_TRIED` are named one by one, which spares
+    an array for each window; what is made of as many lines is made in the same way everywhere."""
+    cases = [f"when {n} then {(some if n else one).format(', '.join(f'v.h[i - 1 + {m}]' for m in range(n + 1)))}" for n in range(_TRIED)]
+    return f"case j - i {' '.join(cases)} else {all_of.format('transform(sequence(i, j), t -> v.h[t - 1])')} end"
+
+
+_WHOLE, _LEAST = _of_lines("xxhash64({})", "xxhash64({})", "xxhash64({})"), _of_lines("{}", "least({})", "array_min({})")
+_LEAST_RUNS = f"""flatten(flatten(transform(array(named_struct('e', e, 'h', h, 'at', at, 'n', n, 'size', size)), v ->
   transform(filter(sequence(1, greatest(1, v.n)), i -> v.e[i - 1] <= v.n), i -> transform(
     sequence(v.e[i - 1], greatest(v.e[i - 1], coalesce(get(v.e, i), v.n + 1) - 1)),
-    j -> named_struct('k', xxhash64(transform(sequence(i, j), t -> v.h[t - 1])), 'f', array_min(transform(sequence(i, j), t -> struct(v.h[t - 1] as h, t as p))), 'a', if(v.at is null or i = 1, i, v.at[i - 1]), 'b', if(v.at is null, j, coalesce(get(v.at, j), v.size + 1) - 1)))))))"""
+    j -> named_struct('k', {_WHOLE}, 'f', {_LEAST}, 'a', if(v.at is null or i = 1, i, v.at[i - 1]), 'b', if(v.at is null, j, coalesce(get(v.at, j), v.size + 1) - 1)))))))"""
 #: Within a text a run meets its place before; only the first place is held against other texts.
 _AGAIN = "array_sort(transform(filter(s, (x, i) -> i > 0 and s[greatest(i, 1) - 1].k = x.k), x -> named_struct('a', x.a, 'b', x.b)))"
 _FIRSTS = "filter(s, (x, i) -> i = 0 or s[greatest(i, 1) - 1].k <> x.k)"
-#: The fingerprints of a text: each minimum of a window once, though neighbouring windows share it.
+#: The fingerprints of a text: each least hash of a window once, though neighbouring windows share it.
 _PRINTS = "array_distinct(transform(s, x -> x.f))"
 
 
@@ -54,11 +62,11 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
     1. Texts become arrays of line hashes, once and without a shuffle. Blank lines have no part in it.
     2. A window is a shortest run of 30 words or more from a line, or to a line. Its fingerprint is its least line
-       hash, with the line it stands at; neighbouring windows mostly share theirs. A window that repeats has its
-       fingerprint again at the other place, so a fingerprint that stands at one line of the whole corpus clears all
-       windows that it is the least of. Only fingerprints are counted over the corpus, by partial aggregation.
-    3. Around fingerprints met at two lines or more matches are extended to both sides: the windows that hold them are
-       hashed whole and meet by that hash. Any longer run is the union of the windows inside it, so a line is repeated
+       hash; neighbouring windows mostly share theirs. A window that repeats in another text has its fingerprint there
+       too, so a fingerprint of one text alone clears all windows that it is the least of. Only fingerprints are
+       counted over the corpus, by partial aggregation.
+    3. Around fingerprints of two texts or more matches are extended to both sides: the windows that hold them meet as a
+       whole, by a hash of all their lines. Any longer run is the union of the windows inside it, so a line is repeated
        if and only if one of its windows is: no choice of fingerprints can miss a run, and each meets its own first copy.
     4. A run said again in one text meets its place before there. The first text of every hash is a partial
        aggregation of numbers; the first places of later texts join it. One row stands on that side of each key, so
@@ -73,11 +81,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     plain = split.select("doc_id", "th", F.expr(_PLAIN).alias("plain")).withColumn("real", F.expr("filter(plain, x -> x <> '')"))
     hashed = plain.select("doc_id", "th", F.size("plain").alias("size"), F.size("real").alias("n"), F.expr(_AT).alias("at"), F.expr(_HASHES).alias("h"), F.expr(_WORDS).alias("w"))
     placed = hashed.withColumn("e", F.expr(_ENDS)).select("doc_id", "th", F.array_sort(F.expr(_LEAST_RUNS)).alias("s"))
-    firsts = F.expr(f"transform({_FIRSTS}, x -> struct(x.f.h as f, x.k as k, x.a as a, x.b as b))")
+    firsts = F.expr(f"transform({_FIRSTS}, x -> struct(x.f as f, x.k as k, x.a as a, x.b as b))")
     placed = materialize(placed.select("doc_id", "th", F.expr(_joined(_AGAIN)).alias("again"), F.expr(_PRINTS).alias("prints"), firsts.alias("firsts")), "places")
-    # The rows of one id and text are equal: they are compared within, and their lines count once.
-    lines_of = placed.select("doc_id", "th", F.explode("prints").alias("x")).select(F.col("x.h").alias("f"), F.xxhash64("doc_id", "th", "x.p").alias("at"))
-    met = lines_of.groupBy("f").agg((F.min("at") < F.max("at")).alias("twice")).where("twice").select("f")
+    met = placed.select("doc_id", F.explode("prints").alias("f")).groupBy("f").agg((F.min("doc_id") < F.max("doc_id")).alias("twice")).where("twice").select("f")
     met = materialize(met, "fingerprints")
     known = F.broadcast(met) if met.count() <= BROADCAST_FINGERPRINTS else met
     places = placed.select("doc_id", "th", F.explode("firsts").alias("x")).select("doc_id", "th", "x.f", "x.k", "x.a", "x.b").join(known, "f", "left_semi")
