@@ -26,17 +26,6 @@ def point_in_span_join(points: DataFrame, spans: DataFrame, key: str, ts: str =
     return p.join(s, cond, "left").select("p.*", "s.span_id", "s.start_ts", "s.end_ts").drop("bucket")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Pairs of intervals of one key that overlap, with the seconds they share; each pair once, in the first hour
-    bucket that both touch."""
-    left = a.select(F.col(key), F.col("id").alias("a_id"), F.col("start_ts").alias("a_start"), F.col("end_ts").alias("a_end"), _buckets(F.col("start_ts"), F.col("end_ts")).alias("bucket"))
-    right = b.select(F.col(key), F.col("id").alias("b_id"), F.col("start_ts").alias("b_start"), F.col("end_ts").alias("b_end"), _buckets(F.col("start_ts"), F.col("end_ts")).alias("bucket"))
-    start, end = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
-    rows = left.join(right, [key, "bucket"]).where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")))
-    rows = rows.where(F.col("bucket") == F.date_trunc("hour", start).cast("timestamp_ntz"))
-    return rows.withColumn("seconds", F.unix_timestamp(end.cast("timestamp")) - F.unix_timestamp(start.cast("timestamp"))).select(key, "a_id", "b_id", "seconds")
-
-
 def resolve(names: DataFrame, entities: DataFrame, mode: str = "exact") -> DataFrame:
     """Names to entities, ignoring case. exact: canonical name before aliases, smallest id; contains: all
     entities whose canonical name or alias holds the name."""

@@ -54,6 +54,7 @@ TITLE_KINDS = [
     (r"\.(py|js|ts|jsx|tsx|java|c|cpp|h|rs|go|rb|php|swift|kt)(\s|$|\]|\))", "code"),
     (r"\.epub(\s|$|\]|\))", "ebook"),
 ]
+#: Ends of titles of online documents, paths and file names in titles.
 ONLINE_KINDS = [(r"Google Docs$", "gdoc"), (r"Google Sheets$", "gsheet"), (r"Google Slides$", "gslides")]
 FILE_PATH = r"(/(?:Users|Volumes|private|tmp)[^\s\[\]]+|~/[^\s\[\]]+)"
 FILE_NAMES = [r"^([^-\[\]]+\.[a-zA-Z]{2,5})\s*[-\u2014]\s*", r"[-\u2014]\s*([^-\[\]]+\.[a-zA-Z]{2,5})$", r"^([^/\\\s\[\]]+\.[a-zA-Z]{2,5})$"]
@@ -89,13 +90,15 @@ def _first(title: Column, rules: list[tuple[str, str]], flags: str = "") -> Colu
 
 
 def tag_documents(df: DataFrame, app: str = "app_id", title: str = "window_title") -> DataFrame:
-    """`document_type, document_path, document_confidence, is_document` from the app, the title and a path in it."""
+    """`document_type, document_path, document_confidence, is_document` from the app, the title and a path or file
+    name in it, by all patterns; a row is of a document if its type is known and the confidence suffices."""
     t = F.coalesce(F.col(title), F.lit(""))
     by_app = F.create_map(*[F.lit(x) for pair in DOCUMENT_APPS.items() for x in pair])[F.coalesce(F.col(app), F.lit(""))]
     by_title, online = _first(t, TITLE_KINDS, "(?i)"), _first(t, ONLINE_KINDS)
-    path = F.regexp_extract(t, FILE_PATH, 1)
-    confidence = F.greatest(F.when(by_app.isNotNull(), APP_SURE).otherwise(0.0), F.when(by_title.isNotNull(), TITLE_SURE).otherwise(0.0), F.when(path != "", PATH_SURE).otherwise(0.0), F.when(online.isNotNull(), ONLINE_SURE).otherwise(0.0))
-    return df.withColumns({"document_type": F.coalesce(online, by_app, by_title), "document_path": F.when(path != "", path), "document_confidence": confidence, "is_document": confidence >= LEAST_SURE})
+    path = document_path(t)
+    confidence = F.greatest(F.when(by_app.isNotNull(), APP_SURE).otherwise(0.0), F.when(by_title.isNotNull(), TITLE_SURE).otherwise(0.0), F.when(path.isNotNull(), PATH_SURE).otherwise(0.0), F.when(online.isNotNull(), ONLINE_SURE).otherwise(0.0))
+    kind = F.coalesce(online, by_app, by_title)
+    return df.withColumns({"document_type": kind, "document_path": path, "document_confidence": confidence, "is_document": kind.isNotNull() & (confidence >= LEAST_SURE)})
 
 
 def document_path(title: Column) -> Column:

@@ -191,5 +191,9 @@ def open_loops_summary(loops: DataFrame, now: str) -> DataFrame:
 
 
 def ingest_stats(samples: DataFrame, key: str = "user_id") -> DataFrame:
-    """Per key and day rows captured, duplicates, blocked ones and tokens."""
-    return samples.groupBy(key, F.to_date("ts").alias("day")).agg(F.count("*").alias("captured"), F.count_if("is_dup").alias("duplicates"), F.count_if("is_blocked").alias("blocked"), F.sum("tokens").cast("long").alias("tokens"))
+    """Per key and day rows captured, duplicates, blocked ones and tokens and, where the flags are given, spans that
+    start (`starts_span`) and samples of documents (`is_document`)."""
+    more = [F.count_if(c).alias(n) for c, n in (("starts_span", "spans_created"), ("is_document", "documents_detected")) if c in samples.columns]
+    return samples.groupBy(key, F.to_date("ts").alias("day")).agg(
+        F.count("*").alias("captured"), F.count_if("is_dup").alias("duplicates"), F.count_if("is_blocked").alias("blocked"), F.sum("tokens").cast("long").alias("tokens"), *more
+    )

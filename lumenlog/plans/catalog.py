@@ -12,6 +12,7 @@ from lumenlog.functions import text as X
 from lumenlog.operators import entities as E
 from lumenlog.operators import graph as G
 from lumenlog.operators import integrity as I
+from lumenlog.operators import intervals as IV
 from lumenlog.operators import joins as J
 from lumenlog.operators import rollups as A
 from lumenlog.operators import selection as K
@@ -288,7 +289,7 @@ def j14(spark, d):
     s = B.spans(spark, d).where("timestampdiff(MICROSECOND, start_ts, end_ts) <= 21600000000").withColumnRenamed("event_id", "id")
     half = F.expr("interval 30 minutes")
     b = s.where("app_id = 'view'").withColumns({"start_ts": F.col("start_ts") + half, "end_ts": F.col("end_ts") + half})
-    return J.overlap_join(s.where("app_id = 'click'"), b, "user_id")
+    return IV.overlap_join(s.where("app_id = 'click'"), b, "user_id")
 
 
 @query("j15_join_vectors", "SELECT vec_id, label, text IS NOT NULL AS has_text FROM embeddings JOIN documents ON doc_id = vec_id")

@@ -482,7 +482,7 @@ def g08(spark, d):
     return G.entity_context(50, B.edges(spark, d), B.links(spark, d), B.notes(spark, d))
 
 
-_DEG = with_("edges", "links") + ", x AS (SELECT from_id AS id FROM edges WHERE weight >= 0.3 UNION ALL SELECT to_id FROM edges WHERE weight >= 0.3 AND from_id <> to_id), dg AS MATERIALIZED (SELECT p_partkey AS entity_id, count(x.id) AS degree FROM part LEFT JOIN x ON x.id = p_partkey GROUP BY 1), nn AS (SELECT entity_id, count(DISTINCT note_id) AS notes FROM links GROUP BY 1), tp AS MATERIALIZED (SELECT dg.entity_id, degree, coalesce(notes, 0) AS notes FROM dg LEFT JOIN nn USING (entity_id) WHERE degree > 0 OR notes > 0 ORDER BY degree DESC, notes DESC, entity_id LIMIT 50)"
+_DEG = with_("edges", "links").replace("edges AS (", "edges AS MATERIALIZED (").replace("links AS (", "links AS MATERIALIZED (") + ", x AS (SELECT from_id AS id FROM edges WHERE weight >= 0.3 UNION ALL SELECT to_id FROM edges WHERE weight >= 0.3 AND from_id <> to_id), dg AS MATERIALIZED (SELECT p_partkey AS entity_id, count(x.id) AS degree FROM part LEFT JOIN x ON x.id = p_partkey GROUP BY 1), nn AS (SELECT entity_id, count(DISTINCT note_id) AS notes FROM links GROUP BY 1), tp AS MATERIALIZED (SELECT dg.entity_id, degree, coalesce(notes, 0) AS notes FROM dg LEFT JOIN nn USING (entity_id) WHERE degree > 0 OR notes > 0 ORDER BY degree DESC, notes DESC, entity_id LIMIT 50)"
 
 
 @query("g10_graph_view", _DEG + " SELECT * FROM tp")
@@ -490,7 +490,7 @@ def g10(spark, d):
     return G.graph_view(B.entities(spark, d), B.edges(spark, d), B.links(spark, d), B.notes(spark, d))[0]
 
 
-@query("g10_graph_view_edges", _DEG + " SELECT from_id, to_id, edge_type FROM edges WHERE weight >= 0.3 AND from_id IN (SELECT entity_id FROM tp) AND to_id IN (SELECT entity_id FROM tp)")
+@query("g10_graph_view_edges", _DEG + " SELECT e.from_id, e.to_id, e.edge_type FROM edges e JOIN tp a ON e.from_id = a.entity_id JOIN tp b ON e.to_id = b.entity_id WHERE e.weight >= 0.3")
 def g10e(spark, d):
     return G.graph_view(B.entities(spark, d), B.edges(spark, d), B.links(spark, d), B.notes(spark, d))[1].select("from_id", "to_id", "edge_type")
 

@@ -9,6 +9,7 @@ from lumenlog.functions import text as X
 from lumenlog.operators import entities as E
 from lumenlog.operators import graph as G
 from lumenlog.operators import integrity as I
+from lumenlog.operators import intervals as IV
 from lumenlog.operators import joins as J
 from lumenlog.operators import rollups as A
 from lumenlog.operators import selection as K
@@ -66,7 +67,7 @@ def test_point_in_span_bounds(spark):
 def test_interval_joins_have_no_nested_loop(spark):
     spans = spark.createDataFrame([(1, 10, at(0), at(150))], "u long, span_id long, start_ts timestamp_ntz, end_ts timestamp_ntz")
     points = spark.createDataFrame([(1, at(0))], "u long, ts timestamp_ntz")
-    for df in (J.point_in_span_join(points, spans, "u"), J.overlap_join(spans.withColumnRenamed("span_id", "id"), spans.withColumnRenamed("span_id", "id"), "u")):
+    for df in (J.point_in_span_join(points, spans, "u"), IV.overlap_join(spans.withColumnRenamed("span_id", "id"), spans.withColumnRenamed("span_id", "id"), "u")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
