@@ -25,10 +25,8 @@ _ENDS = f"""transform(sequence(1, greatest(1, n)), i -> coalesce(case
   else aggregate(sequence(i, greatest(i, least(n, i + {MIN_RUN_WORDS - 1}))), named_struct('s', 0, 'at', i - 1),
     (s, t) -> if(s.s >= {MIN_RUN_WORDS}, s, named_struct('s', s.s + coalesce(get(w, t - 1), 0), 'at', t)),
     s -> if(s.s >= {MIN_RUN_WORDS}, s.at, n + 1)) end, n + 1))"""
-#: The shortest run from each line, and the shortest one to each line at which none of those ends. The arrays are bound
-#: to a variable: the optimizer would else put what makes them into the inner function, to be done again for each line. slice() copies
-#: the whole array each time, so elements are taken one by one; no filter
-#: stands behind these columns, as it would be pushed below them with all that makes them.
+
+
 def _of_lines(one: str, some: str, all_of: str) -> str:
     """SQL: a function of the line hashes i to j. Windows have few lines: up to `_TRIED` are named one by one, which spares
     an array for each window; what is made of as many lines is made in the same way everywhere."""
@@ -37,12 +35,16 @@ def _of_lines(one: str, some: str, all_of: str) -> str:
 
 
 _WHOLE, _LEAST = _of_lines("xxhash64({})", "xxhash64({})", "xxhash64({})"), _of_lines("{}", "least({})", "array_min({})")
+#: The shortest run from each line, and the shortest one to each line at which none of those ends. The arrays are bound
+#: to a variable: the optimizer would else put what makes them into the inner function, to be done again for each line. slice() copies
+#: the whole array each time, so elements are taken one by one; no filter
+#: stands behind these columns, as it would be pushed below them with all that makes them.
 _LEAST_RUNS = f"""flatten(flatten(transform(array(named_struct('e', e, 'h', h, 'at', at, 'n', n, 'size', size)), v ->
   transform(filter(sequence(1, greatest(1, v.n)), i -> v.e[i - 1] <= v.n), i -> transform(
     sequence(v.e[i - 1], greatest(v.e[i - 1], coalesce(get(v.e, i), v.n + 1) - 1)),
     j -> named_struct('k', {_WHOLE}, 'f', {_LEAST}, 'a', if(v.at is null or i = 1, i, v.at[i - 1]), 'b', if(v.at is null, j, coalesce(get(v.at, j), v.size + 1) - 1)))))))"""
 #: Within a text a run meets its place before; only the first place is held against other texts.
-_AGAIN = "array_sort(transform(filter(s, (x, i) -> i > 0 and s[greatest(i, 1) - 1].k = x.k), x -> named_struct('a', x.a, 'b', x.b)))"
+_AGAIN = "sort_array(transform(filter(s, (x, i) -> i > 0 and s[greatest(i, 1) - 1].k = x.k), x -> named_struct('a', x.a, 'b', x.b)))"
 _FIRSTS = "filter(s, (x, i) -> i = 0 or s[greatest(i, 1) - 1].k <> x.k)"
 #: The fingerprints of a text: each least hash of a window once, though neighbouring windows share it.
 _PRINTS = "array_distinct(transform(s, x -> x.f))"
@@ -78,9 +80,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null and text <> ''")
     split = lines.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", LINE).alias("lines"))
-    plain = split.select("doc_id", "th", F.expr(_PLAIN).alias("plain")).withColumn("real", F.expr("filter(plain, x -> x <> '')"))
+    plain = split.select("doc_id", "th", F.expr(_PLAIN).alias("plain")).withColumn("real", F.expr("if(array_contains(plain, ''), filter(plain, x -> x <> ''), plain)"))
     hashed = plain.select("doc_id", "th", F.size("plain").alias("size"), F.size("real").alias("n"), F.expr(_AT).alias("at"), F.expr(_HASHES).alias("h"), F.expr(_WORDS).alias("w"))
-    placed = hashed.withColumn("e", F.expr(_ENDS)).select("doc_id", "th", F.array_sort(F.expr(_LEAST_RUNS)).alias("s"))
+    placed = hashed.withColumn("e", F.expr(_ENDS)).select("doc_id", "th", F.sort_array(F.expr(_LEAST_RUNS)).alias("s"))
     firsts = F.expr(f"transform({_FIRSTS}, x -> struct(x.f as f, x.k as k, x.a as a, x.b as b))")
     placed = materialize(placed.select("doc_id", "th", F.expr(_joined(_AGAIN)).alias("again"), F.expr(_PRINTS).alias("prints"), firsts.alias("firsts")), "places")
     met = placed.select("doc_id", F.explode("prints").alias("f")).groupBy("f").agg((F.min("doc_id") < F.max("doc_id")).alias("twice")).where("twice").select("f")
@@ -90,7 +92,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     first = places.groupBy("k").agg(F.min("doc_id").alias("fdoc"), F.max("doc_id").alias("last")).where("fdoc < last").select("k", "fdoc")
     across = places.join(first, "k").where("fdoc < doc_id").select("doc_id", "th", "a", "b")
     within = placed.select("doc_id", "th", F.explode("again").alias("x")).select("doc_id", "th", "x.a", "x.b")
-    found = across.union(within).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("s"))
+    found = across.union(within).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("s"))
     out = materialize(found.select("doc_id", "th", F.expr(_joined("s")).alias("runs")), "runs")
     discard(placed, met)
     return out
