@@ -14,7 +14,7 @@ BROADCAST_RANGES = 400_000  # of repeated runs, over all texts: 16 MB or so
 BROADCAST_FINGERPRINTS = 1_000_000  # of 8 bytes
 _TRIED = 6  # run lengths that are tried one by one before all up to the most lines are summed
 
-_PLAIN = r"transform(lines, x -> lower(trim(translate(x, '\n\t\r', '   '))))"
+_PLAIN = r"transform(lines, x -> lower(trim(replace(replace(replace(x, '\n', ' '), '\t', ' '), '\r', ' '))))"
 _HASHES = "transform(real, x -> xxhash64(x))"
 _WORDS = "transform(real, x -> 1 + octet_length(x) - octet_length(replace(x, ' ', '')))"
 #: Numbers of the lines with words, null where all lines have some.
