@@ -261,6 +261,77 @@ def pack_balanced(docs: DataFrame, length: int = LENGTH, path: str | None = None
 
 ROW_SCHEMA = "sequence_id long, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>, doc_tokens array<long>"
 
+ROW_NAMES = [c.split()[0] for c in ROW_SCHEMA.split(", ")]
+ROW_KINDS = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3]
+SLACK = 0.01  # of the room of a shard's sequences that may be padding; those beyond it are packed with other shards'
+
+
+def kept_sequences(used: np.ndarray, length: int, slack: float = SLACK) -> np.ndarray:
+    """Marks the fullest sequences, as many as have no more than `slack` of their room free together."""
+    order = np.argsort(-used, kind="stable")
+    free = np.cumsum(length - used[order])
+    keep = np.zeros(len(used), bool)
+    keep[order[free <= slack * length * np.arange(1, len(used) + 1)]] = True
+    return keep
+
+
+def _matrix_rows(sequences: list, length: int, pad: int, base: int, docs: list, starts: list, whole: list, ids: np.ndarray, bounds: np.ndarray) -> Iterator[tuple]:
+    """Rows of `ROW_SCHEMA`; unit `d` of a sequence stands at `bounds[d]` of `ids` and at `starts[d]` of its document."""
+    ramp = np.arange(length, dtype="<u4")
+    for s, pieces in enumerate(sequences):
+        row, position, ends = np.full(length, pad, "<u4"), np.zeros(length, "<u4"), [0]
+        for d, start, n in pieces:
+            at = ends[-1]
+            row[at : at + n] = ids[bounds[d] + start : bounds[d] + start + n]
+            position[at : at + n] = ramp[:n]
+            ends.append(at + n)
+        of = [p[0] for p in pieces]
+        yield (base + s, ends[-1], row.tobytes(), position.tobytes(), ends, [docs[d] for d in of], [starts[d] + p[1] for d, p in zip(of, pieces, strict=True)], [whole[d] for d in of])
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _matrices(length: int, path: str | None, pad: int):
+    """Each shard packed by itself; `tail` marks the sequences that are to be packed with other shards'."""
+
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = [*ROW_NAMES, "tail"], [*ROW_KINDS, pa.bool_()]
+        for number, docs, ids, bounds in _shards(items, path):
+            sizes = np.diff(bounds)
+            sequences = best_fit(sizes, length)
+            keep = kept_sequences(np.array([sum(p[2] for p in s) for s in sequences], np.int64), length)
+            rows = []
+            found = _matrix_rows(sequences, length, pad, sequence_base(number), docs, [0] * len(docs), sizes.tolist(), ids.astype("<u4"), bounds)
+            for row, kept in zip(found, keep.tolist(), strict=True):
+                rows.append((*row, not kept))
+                if len(rows) == 256:
+                    yield _batch(rows, names, kinds)
+                    rows = []
+            if rows:
+                yield _batch(rows, names, kinds)
+
+    return run
+
+
+def _pack_matrices(length: int, pad: int):
+    """The pieces of a group of tails as one packing problem."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("sequence_id")
+        ends = rows.column("cu_seqlens").to_pylist()
+        docs, starts, whole = (rows.column(c).combine_chunks().flatten().to_pylist() for c in ("doc_ids", "doc_starts", "doc_tokens"))
+        held = [np.frombuffer(x, "<u4")[: e[-1]] for x, e in zip(rows.column("input_ids").to_pylist(), ends, strict=True)]
+        sizes = np.concatenate([np.diff(e) for e in ends])
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        base = TAIL_BASE + (key[0].as_py() << 20)
+        out = list(_matrix_rows(best_fit(sizes, length), length, pad, base, docs, starts, whole, np.concatenate(held), bounds))
+        return pa.Table.from_batches([_batch(out, ROW_NAMES, ROW_KINDS)])
+
+    return run
+
 
 def pack_best_fit(docs: DataFrame, length: int = LENGTH, path: str | None = None, pad: int = 0) -> DataFrame:
     """One row per sequence, as it is written for training.
@@ -268,31 +339,20 @@ def pack_best_fit(docs: DataFrame, length: int = LENGTH, path: str | None = None
     `input_ids`: `length` little-endian unsigned 32-bit ids, padded by `pad`; `position_ids`: as many, starting at 0
     with each piece (0 in the padding); `cu_seqlens`: 0 and the ends of the pieces; `doc_ids, doc_starts, doc_tokens`:
     of each piece its document, the ids of that before it, and all ids of that. Documents end with id 1, longer ones
-    are split without loss. Shards, nulls, repeated ids and empty tables as in `pack_balanced`.
-    """
+    are split without loss. Shards, nulls, repeated ids and empty tables as in `pack_balanced`; extra columns are ignored.
 
-    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in ROW_SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3]
-        ramp = np.arange(length, dtype="<u4")
-        for number, ids_of, ids, bounds in _shards(items, path):
-            sizes, base, rows = np.diff(bounds), sequence_base(number), []
-            ids = ids.astype("<u4")
-            for s, pieces in enumerate(best_fit(sizes, length)):
-                row, position, ends = np.full(length, pad, "<u4"), np.zeros(length, "<u4"), [0]
-                for d, start, n in pieces:
-                    at = ends[-1]
-                    row[at : at + n] = ids[bounds[d] + start : bounds[d] + start + n]
-                    position[at : at + n] = ramp[:n]
-                    ends.append(at + n)
-                rows.append((base + s, ends[-1], row.tobytes(), position.tobytes(), ends, [ids_of[p[0]] for p in pieces], [p[1] for p in pieces], [int(sizes[p[0]]) for p in pieces]))
-                if len(rows) == 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    A shard keeps its fullest sequences, as many as are padded by `SLACK` or less together, and leaves the others as its
+    tail. Tails are shuffled to groups as large as a shard, and each group is packed again, so that padding does not grow
+    with the number of partitions. Both parts are written to the shared folder and what is returned is read from there.
+    """
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROW_SCHEMA)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shards = materialize(source.mapInArrow(_matrices(length, path, pad), ROW_SCHEMA + ", tail boolean"), "packed")
+    tails = shards.where("tail")
+    groups = -(-(tails.agg(F.sum("n_tokens")).first()[0] or 0) // SHARD_TOKENS)
+    group = F.pmod(F.xxhash64("sequence_id"), F.lit(max(1, groups))).alias("group")
+    again = tails.select(group, *ROW_NAMES).groupBy("group").applyInArrow(_pack_matrices(length, pad), ROW_SCHEMA)
+    return shards.where("not tail").select(*ROW_NAMES).union(materialize(again, "packed_tails"))
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
@@ -311,7 +371,7 @@ def packed_pieces(packed: DataFrame) -> DataFrame:
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents, writes the matrices to the shared folder and returns a digest of what was written."""
-    return packed_pieces(materialize(pack_best_fit(table(spark, sf_dir, "documents")), "packed"))
+    return packed_pieces(pack_best_fit(table(spark, sf_dir, "documents")))
 
 
 def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

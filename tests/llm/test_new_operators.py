@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlog.llm import pii, trie, whitening
+from lumenlog.llm import packing, pii, trie, whitening
 
 # Whitening ------------------------------------------------------------------------------------------------------------
 
@@ -260,3 +260,24 @@ def test_redaction_and_edges(spark, model):
     assert out.columns == df.columns
     assert sorted(str(r.text) for r in out.collect()) == sorted(["é [email], call [phone]!"] * 2 + ["None", "", "clean"])
     assert pii.redact(df.limit(0)).count() == 0 and pii.train(pii.candidates(df.limit(0))) is None
+
+
+def test_tails_of_shards_are_packed_together(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 500, rng.integers(5, 900)))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts, ids = [], []
+    for parts in (1, 25):
+        out = packing.pack_best_fit(docs.repartition(parts, "doc_id"))
+        counts.append(out.count())
+        pieces = packing.packed_pieces(out).collect()
+        ids.append(sum(r.length for r in pieces))
+        whole = {r.doc_id: r.doc_tokens for r in pieces}
+        assert len(whole) == 600 and sum(whole.values()) == ids[-1]
+    assert ids[0] == ids[1] and counts[1] <= counts[0] * 1.01 + 1
+
+
+def test_the_fullest_sequences_are_kept_within_the_slack():
+    keep = packing.kept_sequences(np.array([100, 40, 99, 100, 98, 90]), 100)
+    assert keep.tolist() == [True, False, True, True, True, False]
+    assert packing.kept_sequences(np.zeros(0, np.int64), 100).tolist() == []
