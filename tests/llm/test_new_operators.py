@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlog.llm import packing, pii, trie, whitening
+from lumenlog.llm.html import main_text
 
 # Whitening ------------------------------------------------------------------------------------------------------------
 
@@ -281,3 +283,35 @@ def test_the_fullest_sequences_are_kept_within_the_slack():
     keep = packing.kept_sequences(np.array([100, 40, 99, 100, 98, 90]), 100)
     assert keep.tolist() == [True, False, True, True, True, False]
     assert packing.kept_sequences(np.zeros(0, np.int64), 100).tolist() == []
+
+
+# Main text ------------------------------------------------------------------------------------------------------------
+
+PARAGRAPH = "long words of the text go on and on. " * 20
+
+
+@pytest.mark.parametrize("name", "notice-of-motion social-history advert-free menu-planning comment-on-law share-prices widget-theory".split())
+def test_a_topic_in_a_name_does_not_drop_text(name):
+    part = f'<div class="{name}"><p>{PARAGRAPH} own words</p></div>'
+    page = f"<body><nav><a href=x>a</a></nav><article><h1>T</h1><p>{PARAGRAPH}</p>{part}<p>{PARAGRAPH}</p></article><footer>f</footer></body>"
+    assert "own words" in main_text(page)
+
+
+def test_ratios_decide_inside_the_article():
+    links = "".join(f"<li><a href=/{i}>{i} more</a></li>" for i in range(5))
+    body = f"<article><h1>T</h1><p>{PARAGRAPH}</p><p>Short.</p><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><ul>{links}</ul><p>{PARAGRAPH}</p></article>"
+    whole = " ".join(["T", PARAGRAPH.strip(), "Short.", *[PARAGRAPH.strip()] * 3])
+    assert main_text(f"<body>{body}</body>") == whole
+
+
+def test_names_of_parts_of_the_page_drop_text():
+    for name in ("comments-list", "related-posts", "ad slot-2", "sidebar_right"):
+        page = f'<body><article><h1>T</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><div class="{name}"><p>{PARAGRAPH}not this</p></div></article></body>'
+        assert "not this" not in main_text(page)
+
+
+def test_nesting_and_stray_ends_take_linear_time():
+    start = time.perf_counter()
+    deep = main_text("<div>" * 30_000 + "<p>words of a text</p>" * 30_000)
+    assert deep.startswith("words of a text") and main_text("<div>" * 20_000 + "some text" + "</b>" * 20_000) == "some text"
+    assert time.perf_counter() - start < 20
