@@ -1,14 +1,13 @@
-"""Vector retrieval: exact search as expressions, batch search in Arrow blocks, coarse-to-fine drill-down."""
+"""Vector retrieval: exact search as expressions, coarse-to-fine drill-down; the join of many queries is in `neighbours`."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4096  # queries that a corpus tile is sent to together
-CORPUS_TILE = 32_768
+from lumenlog.operators.neighbours import knn_join
+
+__all__ = ["cosine_distance", "day_context", "dot", "hierarchical_fallback", "hierarchical_search", "knn", "knn_join", "l2", "needs_embedding"]
 
 
 def _d(v: Column) -> Column:
@@ -41,62 +40,6 @@ def knn(df: DataFrame, query: list[float], k: int, metric: str = "l2", vec: str
     return out.orderBy("distance", key).limit(k)
 
 
-def _nearest(k: int):
-    """The k nearest of a corpus tile for each query of a block, ties by id; both come as rows `(id, v)` of one width."""
-
-    def arrays(rows: pa.Table, name: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-        if not rows.num_rows:
-            return np.zeros(0, np.int64), np.zeros((0, width))
-        return rows.column(name).to_numpy(), rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-
-    def run(key: tuple, queries: pa.Table, corpus: pa.Table) -> pa.Table:
-        width = key[0].as_py()
-        (ids, q), (names, x) = arrays(queries, "query_id", width), arrays(corpus, "vec_id", width)
-        out = []
-        step = max(1, 4_000_000 // max(1, len(names)))  # so that a block of distances takes 32 MB
-        for at in range(0, len(ids) if len(names) else 0, step):
-            part = q[at : at + step]
-            d = np.maximum((part * part).sum(1)[:, None] - 2 * part @ x.T + (x * x).sum(1)[None, :], 0)
-            limit = np.partition(d, min(k, len(names)) - 1, axis=1)[:, min(k, len(names)) - 1]
-            slack = 1e-9 * (1 + (part * part).sum(1) + (x * x).sum(1).max())  # the products round; all that may be among the k stay
-            rows, cols = np.nonzero(d <= (limit + slack)[:, None])
-            exact = np.sqrt(((part[rows] - x[cols]) ** 2).sum(1))
-            order = np.lexsort((names[cols], exact, rows))
-            rows, cols, exact = rows[order], cols[order], exact[order]
-            first = np.searchsorted(rows, np.arange(len(part)))
-            best = np.arange(len(rows)) - first[rows] < k
-            out.append((ids[at : at + step][rows[best]], names[cols[best]], exact[best]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "distance"), columns, strict=True)))
-
-    return run
-
-
-def knn_join(queries: DataFrame, corpus: DataFrame, k: int, vec: str = "embedding", key: str = "vec_id", block: int = QUERY_BLOCK, tile: int = CORPUS_TILE) -> DataFrame:
-    """The k nearest rows of the corpus by l2 for every query: `(query_id, vec_id, distance, rank)`.
-
-    Queries are dealt into blocks and the corpus into tiles by a hash of the id; each pair of a block and a tile is one
-    group, compared by matrix products, that sends on its k best per query, which are ranked again. Nothing passes
-    through the driver. Vectors that are null, empty or hold null or NaN, and ones of other widths, match nothing."""
-
-    def good(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.col(key).cast("long").alias(name), F.col(vec).cast("array<double>").alias("v"))
-        return rows.where(f"{name} is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x))").withColumn("dim", F.size("v"))
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    q, c = good(queries, "query_id"), good(corpus, "vec_id")
-    blocks, tiles = (max(1, -(-df.count() // size)) for df, size in ((q, block), (c, tile)))
-    dealt = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    left = q.withColumn("block", dealt("query_id", blocks)).withColumn("tile", every(tiles))
-    right = c.withColumn("tile", dealt("vec_id", tiles)).withColumn("block", every(blocks))
-    keys = ["dim", "block", "tile"]
-    rows = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_nearest(k), "query_id long, vec_id long, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-
-
 def hierarchical_search(parents: DataFrame, children: DataFrame, query: list[float], days: int = 3, hours: int = 3) -> DataFrame:
     """The best parents by cosine, the best children of each: relevance 0.6*parent + 0.4*mean child score, or the parent's alone.
 
