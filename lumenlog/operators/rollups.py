@@ -63,6 +63,12 @@ def search_aggregates(agg: DataFrame, part: str) -> DataFrame:
     return agg.where(F.lower("key").contains(part.lower())).groupBy("key_type", "key").agg(F.round(F.sum("value"), 4).alias("value"))
 
 
+def sum_of_keys(agg: DataFrame, keys: DataFrame) -> DataFrame:
+    """A13 with the `(key_type, key)` that an index found."""
+    rows = agg.join(keys.select("key_type", "key").distinct(), ["key_type", "key"], "left_semi")
+    return rows.groupBy("key_type", "key").agg(F.round(F.sum("value"), 4).alias("value"))
+
+
 def period_summary(agg: DataFrame, top: int = 5) -> DataFrame:
     """The `top` keys of each type with the type's total."""
     sums = agg.groupBy("key_type", "key").agg(F.sum("value").alias("v"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,13 @@ from lumenlog.operators import intervals as I
 from lumenlog.operators import joins as J
 from lumenlog.operators import rollups as A
 from lumenlog.operators import spans as W
+from lumenlog.operators.name_index import NameIndex
 from lumenlog.operators.payload import tag_documents
 from lumenlog.operators.segments import scan
 from lumenlog.plans import base as B
+from lumenlog.plans.catalog import ORACLES as FIRST_SQL
+from lumenlog.plans.catalog2 import ORACLES as SECOND_SQL
+from lumenlog.plans.catalog2 import _rollup as rollup
 from lumenlog.plans.base import with_
 from lumenlog.plans.catalog_streams import _shared as scratch
 from lumenlog.plans.catalog_streams import drain
@@ -378,3 +383,29 @@ def a34_whole(spark, d):
     rows = rows.withColumns({"is_dup": F.col("k") % 4 == 0, "is_blocked": F.col("app_id") == "click", "tokens": F.col("k"), "starts_span": ~F.col("app_id").eqNullSafe(F.col("before"))})
     title = F.when(F.col("k") % 3 == 0, F.concat(F.lit("report "), F.col("k").cast("string"), F.lit(".pdf"))).otherwise("a page")
     return A.ingest_stats(tag_documents(rows.withColumn("window_title", title))).withColumn("day", F.col("day").cast("string"))
+
+
+def _entity_index(spark: SparkSession, d: str) -> NameIndex:
+    entities = B.entities(spark, d)
+    names = entities.withColumn("name", F.explode(F.concat(F.array("canonical_name"), "aliases")))
+    return NameIndex(spark, f"{scratch(spark)}/entity-names-{uuid.uuid4().hex}").build(names, "name", "entity_id", "canonical_name")
+
+
+@query("j04_resolve_by_index", FIRST_SQL["j04_resolve_contains"])
+def j04_by_index(spark, d):
+    asked = B.read(spark, d, "part").select(F.split("p_name", " ")[0].alias("name"))
+    return _entity_index(spark, d).held(asked, "name").select("name", "entity_id").distinct()
+
+
+@query("e06_search_by_index", SECOND_SQL["e06_search_entities"])
+def e06_by_index(spark, d):
+    found = _entity_index(spark, d).search("Red").select("entity_id", "canonical_name").distinct()
+    return found.orderBy("canonical_name", "entity_id").limit(20)
+
+
+@query("a13_search_by_index", SECOND_SQL["a13_search_aggregates"])
+def a13_by_index(spark, d):
+    agg = rollup(spark, d)
+    keys = agg.select("key_type", "key").distinct()
+    index = NameIndex(spark, f"{scratch(spark)}/aggregate-keys-{uuid.uuid4().hex}").build(keys, "key", "key_type", "key")
+    return A.sum_of_keys(agg, index.search("C"))
