@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,172 +12,159 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from lumenlog.operators.joins import apply_blocklist
 from lumenlog.sources.merge_table import MergeTable, hash_bucket, keep_latest
 
-SPAN_SCHEMA = "user_id long, start_ts timestamp, end_ts timestamp, app_id string, n_samples long"
+BUCKETS = 256  # groups of keys that share a state; a call of Python costs milliseconds, a row microseconds
+MICRO = 1_000_000
 
 
-class SpanTracker(StatefulProcessor):
-    """Holds the open span and the samples that the watermark hasn't passed, and emits spans as contexts change.
+class InOrder(StatefulProcessor):
+    """Rows wait until the watermark is past them and are then worked off by key, time and id, late ones in their place.
+
+    A group is a bucket of keys: a batch reads and writes the state of a bucket once, whatever its keys, and calls Python
+    once for each bucket that has rows. `waiting` and `memory` hold one array a column. Times are microseconds.
 
-    Samples wait until the watermark is past them, so that out-of-order ones are put in their place. With `idle`
-    seconds given, a span whose next sample comes later than that, or not before the watermark says so, ends at its
-    last sample, and its state goes."""
+    `key` and `waits`: names and types of the columns, (at, event_id) first among the latter. A subclass names what it
+    remembers of a key (its last time first) and what it `gives`. A key is forgotten `silence` seconds after its last time."""
 
-    def __init__(self, idle: float | None = None):
-        self.idle = None if idle is None else timedelta(seconds=idle)
+    waits: dict[str, str] = {}
+    remembers: dict[str, str] = {}
+    gives: list[str] = []
 
-    def _wake(self, at: datetime) -> None:
-        self.handle.registerTimer(int(at.replace(tzinfo=timezone.utc).timestamp() * 1000) + 1)
+    def __init__(self, key: dict[str, str], silence: float | None = None):
+        self.key, self.silence = key, None if silence is None else round(silence * MICRO)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts timestamp, event_id long, app_id string")
-        self.open = handle.getValueState("open", "start_ts timestamp, end_ts timestamp, app_id string, n long")
-
-    def _release(self, key, limit: datetime) -> list[tuple]:
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        ready = [r for r in rows if r[0] <= limit]
-        late = rows[len(ready) :]
-        if late:
-            self.waiting.put(late)
-            self._wake(late[0][0])
-        else:
-            self.waiting.clear()
-        out = []
-        span = self.open.get() if self.open.exists() else None
-        for ts, _, app in ready:
-            if span is not None and self.idle is not None and ts - span[1] > self.idle:
-                out.append((key[0], *span))
-                span = None
-            if span is not None and span[2] == app:
-                span = (span[0], ts, app, span[3] + 1)
+        columns = lambda held: ", ".join(f"{c} array<{t}>" for c, t in {**self.key, **held}.items())
+        self.waiting = handle.getValueState("waiting", columns(self.waits))
+        self.memory = handle.getValueState("memory", columns(self.remembers))
+
+    def step(self, memory: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        """What is remembered after a row, and the rows that come out."""
+        raise NotImplementedError
+
+    def end(self, memory: tuple) -> list[tuple]:
+        """The rows that come out as a key is forgotten."""
+        return []
+
+    def _held(self, state) -> list[tuple]:
+        return list(zip(*state.get(), strict=True)) if state.exists() else []
+
+    def _hold(self, state, rows: list[tuple]) -> None:
+        if rows:
+            state.update(tuple(list(c) for c in zip(*rows, strict=True)))
+        elif state.exists():
+            state.clear()
+
+    def _release(self, timerValues, got: list[tuple]) -> Iterator[pd.DataFrame]:
+        limit, n, silence = timerValues.getCurrentWatermarkInMs() * 1000, len(self.key), self.silence
+        late, ready = [], {}
+        for r in (*self._held(self.waiting), *got):
+            if r[n] <= limit:
+                ready.setdefault(r[:n], []).append(r[n:])
             else:
-                if span is not None:
-                    out.append((key[0], span[0], ts, span[2], span[3]))
-                span = (ts, ts, app, 1)
-        if span is not None and self.idle is not None and limit - span[1] > self.idle:
-            out.append((key[0], *span))
-            span = None
-        if span is not None:
-            self.open.update(span)
-            if self.idle is not None:
-                self._wake(span[1] + self.idle)
-        elif self.open.exists():
-            self.open.clear()
-        return out
-
-    def _frame(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame(rows, columns=["user_id", "start_ts", "end_ts", "app_id", "n_samples"])
+                late.append(r)
+        memories = {r[:n]: r[n:] for r in self._held(self.memory)}
+        out = []
+        for key, rows in ready.items():
+            memory = memories.get(key)
+            for row in sorted(rows, key=lambda r: r[:2]):
+                if memory is not None and silence is not None and row[0] - memory[0] > silence:
+                    out.extend((*key, *v) for v in self.end(memory))
+                    memory = None
+                memory, values = self.step(memory, row)
+                out.extend((*key, *v) for v in values)
+            memories[key] = memory
+        if silence is not None:
+            for key in [k for k, m in memories.items() if limit - m[0] > silence]:
+                out.extend((*key, *v) for v in self.end(memories.pop(key)))
+        if got or ready:
+            self._hold(self.waiting, late)
+        self._hold(self.memory, [(*k, *m) for k, m in memories.items()])
+        wake = [min(r[n] for r in late)] if late else []
+        wake += [min(m[0] for m in memories.values()) + silence] if silence is not None and memories else []
+        if wake:
+            self.handle.registerTimer(min(wake) // 1000 + 1)
+        yield pd.DataFrame(out, columns=[*self.key, *self.gives], dtype=object)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        got = [(r.ts.to_pydatetime(), int(r.event_id), r.app_id) for pdf in rows for r in pdf.itertuples()]
-        if got:
-            self.waiting.appendList(got)
-        yield from self._frame(self._release(key, mark.to_pydatetime()))
+        got = []
+        for pdf in rows:
+            columns = []
+            for c, kind in {**self.key, **self.waits}.items():
+                there = pdf[c].notna()
+                values = pdf[c].tolist() if there.all() else pdf[c].astype(object).where(there, None).tolist()
+                columns.append([None if v is None else int(v) for v in values] if kind in ("long", "bigint", "int") else values)
+            got.extend(zip(*columns, strict=True))
+        yield from self._release(timerValues, got)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
         self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
-        yield from self._frame(self._release(key, mark.to_pydatetime()))
+        yield from self._release(timerValues, [])
 
     def close(self) -> None:
         pass
 
 
-def stream_spans(samples: DataFrame, delay: str = "1 hour", idle: float | None = None) -> DataFrame:
-    """ST1: closed spans of `(user_id, ts, event_id, app_id)`; a span closes at the sample that breaks it, or at its
-    last sample if none follows within `idle` seconds (None: it stays open)."""
-    marked = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return marked.groupBy("user_id").transformWithStateInPandas(SpanTracker(idle), SPAN_SCHEMA, "Append", "EventTime")
-
-
-class InOrder(StatefulProcessor):
-    """Rows of a key wait until the watermark is past them and are then worked off by time and id, late ones in their place.
-
-    `waits`: their columns, (ts, event_id) first. A subclass names what it remembers and makes a row from each."""
-
-    waits = "ts timestamp, event_id long"
-    remembers = "at timestamp"
-
-    def __init__(self, key: list[str], silence: float | None = None):
-        self.key, self.silence = key, None if silence is None else timedelta(seconds=silence)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waits)
-        self.memory = handle.getValueState("memory", self.remembers)
-
-    def step(self, memory: tuple | None, row: tuple) -> tuple[tuple, tuple]:
-        """What is remembered after a row, and the values that the row gets."""
-        raise NotImplementedError
-
-    def _wake(self, at: datetime) -> None:
-        self.handle.registerTimer(int(at.replace(tzinfo=timezone.utc).timestamp() * 1000) + 1)
-
-    def _release(self, key, timerValues) -> Iterator[pd.DataFrame]:
-        limit = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms").to_pydatetime()
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
-        ready = [r for r in rows if r[0] <= limit]
-        if len(ready) < len(rows):
-            self.waiting.put(rows[len(ready) :])
-            self._wake(rows[len(ready)][0])
-        elif rows:
-            self.waiting.clear()
-        memory, out = tuple(self.memory.get()) if self.memory.exists() else None, []
-        for row in ready:
-            if memory is not None and self.silence is not None and row[0] - memory[0] > self.silence:
-                memory = None
-            memory, values = self.step(memory, row)
-            out.append((*key, row[1], *values))
-        if memory is not None and self.silence is not None and limit - memory[0] > self.silence:
-            memory = None
-        if memory is not None:
-            self.memory.update(memory)
-            if self.silence is not None:
-                self._wake(memory[0] + self.silence)
-        elif self.memory.exists():
-            self.memory.clear()
-        yield pd.DataFrame(out, columns=[*self.key, "event_id", *self.gives])
+class SpanTracker(InOrder):
+    """Emits spans as contexts change. With `silence`, a span whose next sample comes later than that, or not before the
+    watermark says so, ends at its last sample."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in self.waits.split(", ")]
-        plain = lambda v: None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v
-        got = [tuple(plain(v) for v in r) for pdf in rows for r in pdf[names].itertuples(index=False)]
-        if got:
-            self.waiting.appendList(got)
-        yield from self._release(key, timerValues)
+    waits = {"at": "long", "event_id": "long", "app_id": "string"}
+    remembers = {"end_at": "long", "start_at": "long", "app_id": "string", "n": "long"}
+    gives = ["start_at", "end_at", "app_id", "n_samples"]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
-        yield from self._release(key, timerValues)
+    def step(self, memory, row):
+        at, _, app = row
+        if memory is not None and memory[2] == app:
+            return (at, memory[1], app, memory[3] + 1), []
+        return (at, at, app, 1), [] if memory is None else [(memory[1], at, *memory[2:])]
 
-    def close(self) -> None:
-        pass
+    def end(self, memory):
+        return [(memory[1], memory[0], *memory[2:])]
 
 
 class OrderedDups(InOrder):
     """A frame within the threshold of the one before it is a duplicate."""
 
-    waits, remembers, gives = "ts timestamp, event_id long, fingerprint string", "at timestamp, fingerprint string", ["is_dup"]
+    waits = {"at": "long", "event_id": "long", "fingerprint": "string"}
+    remembers = {"at": "long", "fingerprint": "string"}
+    gives = ["event_id", "is_dup"]
     threshold = 5
 
     def step(self, memory, row):
         near = memory is not None and (int(memory[1], 16) ^ int(row[2], 16)).bit_count() <= self.threshold
-        return (row[0], row[2]), (near,)
+        return (row[0], row[2]), [(row[1], near)]
 
 
 class Throttle(InOrder):
     """The first reading of each slot of time counts; other rows carry the last one on."""
 
-    waits, remembers, gives = "ts timestamp, event_id long, value double", "at timestamp, slot long, value double", ["carried"]
+    waits = {"at": "long", "event_id": "long", "value": "double"}
+    remembers = {"at": "long", "slot": "long", "value": "double"}
+    gives = ["event_id", "carried"]
     seconds = 60
 
     def step(self, memory, row):
-        slot = int(row[0].replace(tzinfo=timezone.utc).timestamp() // self.seconds)
+        slot = row[0] // (self.seconds * MICRO)
         fresh = memory is None or memory[1] != slot
         last = None if memory is None else memory[2]
         value = row[2] if fresh and row[2] is not None else last
-        return (row[0], slot, value), (value,)
+        return (row[0], slot, value), [(row[1], value)]
+
+
+def _in_order(df: DataFrame, work: InOrder, schema: str, delay: str, buckets: int = BUCKETS) -> DataFrame:
+    """Runs `work` over `df` with its time in `ts`; each bucket of keys is one group."""
+    marked = df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    rows = marked.select(*work.key, "ts", F.unix_micros("ts").alias("at"), *[c for c in work.waits if c != "at"])
+    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(*work.key), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("__bucket").transformWithStateInPandas(work, schema, "Append", "EventTime")
+
+
+def stream_spans(samples: DataFrame, delay: str = "1 hour", idle: float | None = None) -> DataFrame:
+    """ST1: closed spans of `(user_id, ts, event_id, app_id)`; a span closes at the sample that breaks it, or at its
+    last sample if none follows within `idle` seconds (None: it stays open)."""
+    out = _in_order(samples, SpanTracker({"user_id": "long"}, idle), "user_id long, start_at long, end_at long, app_id string, n_samples long", delay)
+    return out.select("user_id", F.timestamp_micros("start_at").alias("start_ts"), F.timestamp_micros("end_at").alias("end_ts"), "app_id", "n_samples")
 
 
 class DupFilter(StatefulProcessor):
@@ -204,9 +190,13 @@ class DupFilter(StatefulProcessor):
         pass
 
 
-def _keyed(df: DataFrame, key: tuple[str, ...]) -> str:
+def _key(df: DataFrame, key: tuple[str, ...]) -> dict[str, str]:
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    return ", ".join([*(f"{c} {types[c]}" for c in key), "event_id long"])
+    return {c: types[c] for c in key}
+
+
+def _keyed(df: DataFrame, key: tuple[str, ...]) -> str:
+    return ", ".join([*(f"{c} {t}" for c, t in _key(df, key).items()), "event_id long"])
 
 
 def stream_drop_dups(frames: DataFrame, threshold: int = 5, key: tuple[str, ...] = ("user_id",), ttl: int | None = None, delay: str | None = None, silence: float | None = None) -> DataFrame:
@@ -219,10 +209,9 @@ def stream_drop_dups(frames: DataFrame, threshold: int = 5, key: tuple[str, ...]
     such a stream runs on without data, so it is meant for triggers that don't wait for its end."""
     schema = _keyed(frames, key) + ", is_dup boolean"
     if delay is not None:
-        marked = frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-        work = OrderedDups(list(key), silence)
+        work = OrderedDups(_key(frames, key), silence)
         work.threshold = threshold
-        return marked.groupBy(*key).transformWithStateInPandas(work, schema, "Append", "EventTime")
+        return _in_order(frames, work, schema, delay)
     mode = "None" if ttl is None else "ProcessingTime"
     return frames.groupBy(*key).transformWithStateInPandas(DupFilter(list(key), threshold, ttl), schema, "Append", mode)
 
@@ -233,10 +222,9 @@ def stream_throttle(readings: DataFrame, seconds: int, key: tuple[str, ...] = ("
 
     Rows wait until the watermark is past them, so late ones stand in their place; a key's state goes `silence` seconds
     of event time after its last row (None: never), and its next row has nothing to carry on."""
-    marked = readings.withColumns({"ts": F.col("ts").cast("timestamp"), "value": F.col("value").cast("double")}).withWatermark("ts", delay)
-    work = Throttle(list(key), silence)
+    work = Throttle(_key(readings, key), silence)
     work.seconds = seconds
-    return marked.groupBy(*key).transformWithStateInPandas(work, _keyed(readings, key) + ", carried double", "Append", "EventTime")
+    return _in_order(readings.withColumn("value", F.col("value").cast("double")), work, _keyed(readings, key) + ", carried double", delay)
 
 
 def stream_hourly(samples: DataFrame, delay: str = "1 hour", tokens: str | None = None) -> DataFrame:
