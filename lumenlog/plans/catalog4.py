@@ -226,15 +226,21 @@ def g02_support(spark, d):
 # Streams over several files.
 
 
+FILE_ROWS = 500_000
+
+
 def _files(df: DataFrame, n: int = 4) -> DataFrame:
-    """A stream of `df` in `n` files by time, one a batch."""
+    """A stream of `df` in `n` batches by time, each of as many files as its rows need, which are read together."""
     spark = df.sparkSession
-    path, ends = scratch(spark), df.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / n for i in range(1, n)]).alias("q")).first()["q"] or []
     at = F.unix_micros(F.col("ts").cast("timestamp"))
+    about = df.select(F.percentile_approx(at, [i / n for i in range(1, n)]).alias("q"), F.count("*").alias("n")).first()
+    path, ends = scratch(spark), about["q"] or []
+    files = max(1, about["n"] // (n * FILE_ROWS))
     for low, high in zip([None, *ends], [*ends, None], strict=True):
         part = df if low is None else df.where(at > low)
-        (part if high is None else part.where(at <= high)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part = part if high is None else part.where(at <= high)
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 _MARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
