@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions.text import hamming
 from lumenlog.operators.segments import block_piece, scan, time_piece
+from lumenlog.sources.scratch import spread
 
 
 def build_spans(samples: DataFrame, key: str = "user_id", browsers: list[str] | None = None, tie: str = "event_id", keep_ids: int = 100, piece: str = "day", max_gap: float | None = None) -> DataFrame:
@@ -54,9 +55,9 @@ def build_spans(samples: DataFrame, key: str = "user_id", browsers: list[str] |
 
 
 def lead_spans(events: DataFrame, key: str = "user_id", tie: str = "event_id") -> DataFrame:
-    """Spans from each sample to the next one of its key (the last sample has none)."""
+    """Spans from each sample to the next one of its key (the last sample has none), dealt by key and number."""
     w = Window.partitionBy(key).orderBy("ts", tie)
-    return events.withColumn("end_ts", F.lead("ts").over(w)).where("end_ts is not null").withColumnRenamed("ts", "start_ts")
+    return spread(events, key).withColumn("end_ts", F.lead("ts").over(w)).where("end_ts is not null").withColumnRenamed("ts", "start_ts")
 
 
 def clip_to_hours(spans: DataFrame, start: str = "start_ts", end: str = "end_ts") -> DataFrame:
