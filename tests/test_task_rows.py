@@ -11,6 +11,7 @@ ROWS = 128
 EVENTS = [
     "w05_focus_sessions",
     "w05_focus_summary",
+    "a30_hourly_apps",
 ]
 
 
