@@ -12,6 +12,7 @@ EVENTS = [
     "w05_focus_sessions",
     "w05_focus_summary",
     "a30_hourly_apps",
+    "f21_timeline_text",
 ]
 
 
