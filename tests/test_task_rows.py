@@ -13,6 +13,7 @@ EVENTS = [
     "w05_focus_summary",
     "a30_hourly_apps",
     "f21_timeline_text",
+    "w06_media_hours",
 ]
 
 
