@@ -14,6 +14,7 @@ EVENTS = [
     "a30_hourly_apps",
     "f21_timeline_text",
     "w06_media_hours",
+    "w13_temporal_sequence",
 ]
 
 
