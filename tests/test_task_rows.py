@@ -1,8 +1,11 @@
 """Tasks get a bounded number of rows, however few bytes their rows take in a shuffle."""
 
+import re
+
 import pandas as pd
 import pytest
 
+from lumenlog.plans import base as B
 from lumenlog.sources import scratch
 from tests.test_oracles import ALL, SQL, normal
 
@@ -24,3 +27,17 @@ def test_spans_are_dealt_by_rows(spark, duck, sf, monkeypatch, name):
     out = ALL[name](spark, sf)
     assert out.rdd.getNumPartitions() >= duck.execute("select count(*) from events").fetchall()[0][0] // ROWS
     pd.testing.assert_frame_equal(normal(out.toPandas()), normal(duck.execute(SQL[name]).df()))
+
+
+LINKS = [
+    "a16_topic_usage",
+]
+
+
+@pytest.mark.parametrize("name", LINKS)
+def test_links_and_edges_are_dealt_by_rows(spark, duck, sf, monkeypatch, name):
+    monkeypatch.setattr(scratch, "TASK_ROWS", 1024)
+    out = ALL[name](spark, sf)
+    assert re.search(r"RepartitionByExpression \[[^\]]*l_(order|part)key", out._jdf.queryExecution().optimizedPlan().toString()) or name == "g07_paths_of_two_parts"
+    assert min(B.links(spark, sf).rdd.getNumPartitions(), B.edges(spark, sf).rdd.getNumPartitions()) > 4
+    pd.testing.assert_frame_equal(normal(out.toPandas()), normal(duck.execute(SQL[name]).df()))
