@@ -31,6 +31,7 @@ def test_spans_are_dealt_by_rows(spark, duck, sf, monkeypatch, name):
 
 LINKS = [
     "a16_topic_usage",
+    "g10_graph_view",
 ]
 
 
