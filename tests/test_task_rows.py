@@ -33,6 +33,7 @@ LINKS = [
     "a16_topic_usage",
     "g10_graph_view",
     "e04_normalized_edges",
+    "g10_graph_view_edges",
 ]
 
 
