@@ -34,6 +34,7 @@ LINKS = [
     "g10_graph_view",
     "e04_normalized_edges",
     "g10_graph_view_edges",
+    "g07_paths_of_two_parts",
 ]
 
 
