@@ -35,6 +35,7 @@ LINKS = [
     "e04_normalized_edges",
     "g10_graph_view_edges",
     "g07_paths_of_two_parts",
+    "a20_dashboard",
 ]
 
 
