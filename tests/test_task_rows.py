@@ -46,3 +46,11 @@ def test_links_and_edges_are_dealt_by_rows(spark, duck, sf, monkeypatch, name):
     assert re.search(r"RepartitionByExpression \[[^\]]*l_(order|part)key", out._jdf.queryExecution().optimizedPlan().toString()) or name == "g07_paths_of_two_parts"
     assert min(B.links(spark, sf).rdd.getNumPartitions(), B.edges(spark, sf).rdd.getNumPartitions()) > 4
     pd.testing.assert_frame_equal(normal(out.toPandas()), normal(duck.execute(SQL[name]).df()))
+
+
+@pytest.mark.parametrize("name", ["g02_cooccurrence", "g02_cooccurrence_support"])
+def test_pairs_are_joined_by_rows(spark, duck, sf, monkeypatch, name):
+    monkeypatch.setattr(scratch, "TASK_ROWS", 1024)
+    out = ALL[name](spark, sf)
+    assert re.search(r"RepartitionByExpression \[note_id[^\]]*low", out._jdf.queryExecution().optimizedPlan().toString())
+    pd.testing.assert_frame_equal(normal(out.toPandas()), normal(duck.execute(SQL[name]).df()))
