@@ -5,6 +5,7 @@ import re
 import pandas as pd
 import pytest
 
+from lumenlog.operators import graph as G
 from lumenlog.plans import base as B
 from lumenlog.sources import scratch
 from tests.test_oracles import ALL, SQL, normal
@@ -54,3 +55,17 @@ def test_pairs_are_joined_by_rows(spark, duck, sf, monkeypatch, name):
     out = ALL[name](spark, sf)
     assert re.search(r"RepartitionByExpression \[note_id[^\]]*low", out._jdf.queryExecution().optimizedPlan().toString())
     pd.testing.assert_frame_equal(normal(out.toPandas()), normal(duck.execute(SQL[name]).df()))
+
+
+def test_paths_make_only_edges_of_a_level_distinct(spark, sf, monkeypatch):
+    steps = []
+    monkeypatch.setattr(G, "written", lambda df, tag="step": steps.append(df) or df.localCheckpoint())
+    found = G.paths(B.edges(spark, sf).where("weight >= 0.5"), 150, -1)
+    assert len(steps) == 3 and found.count() == 0
+    for df in steps:
+        assert not re.search(r"Aggregate \[from_id#\d+L, to_id#\d+L\].*\n[ :+-]*(Filter.*\n[ :+-]*)?Union", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_paths_over_repeated_edges_come_once(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (2, 3), (3, 2), (3, 4), (3, 4)], "from_id long, to_id long")
+    assert [tuple(r) for r in G.paths(edges, 1, 4).collect()] == [("1>2>3>4", 3)]
