@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions.text import canon_entity_type, normalize_name
-from lumenlog.sources.scratch import written
+from lumenlog.sources.scratch import spread, written
 
 
 def extract_mentions(notes: DataFrame) -> DataFrame:
@@ -74,15 +74,19 @@ def resolve_chains(mapping: DataFrame, rounds: int = 20) -> DataFrame:
     raise ValueError("mapping has a cycle")
 
 
-def apply_normalizations(mapping: DataFrame, entities: DataFrame, links: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Variants give way to their canonical entity in entities (as aliases), links and edges; `mapping(variant, canonical)` of ids."""
+def apply_normalizations(mapping: DataFrame, entities: DataFrame, links: DataFrame, edges: DataFrame, of: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Variants give way to their canonical entity in entities (as aliases), links and edges; `mapping(variant, canonical)` of ids.
+
+    With `of`, of which there are at least as many rows as links or edges, both are dealt by its rows before they are
+    merged: hardly any become equal, so partial maxima would only hold them all."""
     m = resolve_chains(mapping)
     merged = entities.join(m, F.col("entity_id") == F.col("variant"), "left").withColumn("into", F.coalesce("canonical", "entity_id"))
     names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat("aliases", F.when(F.col("variant").isNotNull(), F.array("canonical_name")).otherwise(F.array()))))))
     kept = merged.groupBy(F.col("into").alias("entity_id")).agg(F.max(F.when(F.col("variant").isNull(), F.col("entity_type"))).alias("entity_type"), F.max(F.when(F.col("variant").isNull(), F.col("canonical_name"))).alias("canonical_name"), names.alias("aliases"))
     to = lambda df, c: df.join(m, F.col(c) == F.col("variant"), "left").withColumn(c, F.coalesce("canonical", c)).drop("variant", "canonical")
-    moved = to(links, "entity_id").groupBy("note_id", "entity_id").agg(F.max("strength").alias("strength"), F.max("context").alias("context"))
-    repointed = to(to(edges, "from_id"), "to_id").where("from_id <> to_id").groupBy("from_id", "to_id", "edge_type").agg(F.max("weight").alias("weight"))
+    dealt = lambda df, *keys: df if of is None else spread(df, *keys, of=of)
+    moved = dealt(to(links, "entity_id"), "note_id").groupBy("note_id", "entity_id").agg(F.max("strength").alias("strength"), F.max("context").alias("context"))
+    repointed = dealt(to(to(edges, "from_id"), "to_id").where("from_id <> to_id"), "from_id", "to_id", "edge_type").groupBy("from_id", "to_id", "edge_type").agg(F.max("weight").alias("weight"))
     return kept, moved, repointed
 
 

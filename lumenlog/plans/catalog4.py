@@ -344,7 +344,7 @@ def e04_entities(spark, d):
 SELECT from_id, to_id, edge_type, max(weight) AS weight FROM m WHERE from_id <> to_id GROUP BY ALL""",
 )
 def e04_edges(spark, d):
-    return E.apply_normalizations(_chain(spark, d), B.entities(spark, d), B.links(spark, d), B.edges(spark, d))[2]
+    return E.apply_normalizations(_chain(spark, d), B.entities(spark, d), B.links(spark, d), B.edges(spark, d), of=B.read(spark, d, "lineitem"))[2]
 
 
 def _proposals(spark, d):

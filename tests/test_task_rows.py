@@ -69,3 +69,11 @@ def test_paths_make_only_edges_of_a_level_distinct(spark, sf, monkeypatch):
 def test_paths_over_repeated_edges_come_once(spark):
     edges = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (2, 3), (3, 2), (3, 4), (3, 4)], "from_id long, to_id long")
     assert [tuple(r) for r in G.paths(edges, 1, 4).collect()] == [("1>2>3>4", 3)]
+
+
+def test_repointed_edges_are_dealt_by_rows(spark, duck, sf, monkeypatch):
+    monkeypatch.setattr(scratch, "TASK_ROWS", 1024)
+    out = ALL["e04_normalized_edges"](spark, sf)
+    assert len(re.findall("REPARTITION_BY_NUM", out._jdf.queryExecution().executedPlan().toString())) == 2
+    assert out.rdd.getNumPartitions() > 4
+    pd.testing.assert_frame_equal(normal(out.toPandas()), normal(duck.execute(SQL["e04_normalized_edges"]).df()))
