@@ -71,6 +71,21 @@ def test_paths_over_repeated_edges_come_once(spark):
     assert [tuple(r) for r in G.paths(edges, 1, 4).collect()] == [("1>2>3>4", 3)]
 
 
+@pytest.mark.parametrize("name", ["g10_graph_view"])
+def test_notes_of_an_entity_are_counted_after_links_are_distinct(spark, sf, name):
+    assert "count(distinct" not in ALL[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_notes_of_an_entity_count_once(spark):
+    links = spark.createDataFrame([(1, 10), (1, 10), (2, 10), (3, 10), (None, 10), (2, 11)], "note_id long, entity_id long")
+    notes = spark.createDataFrame([(1,), (2,), (2,), (None,)], "note_id long")
+    entities = spark.createDataFrame([(10,), (11,), (12,)], "entity_id long")
+    edges = spark.createDataFrame([(11, 12, "USED_APP", 0.9)], "from_id long, to_id long, edge_type string, weight double")
+    top, among = G.graph_view(entities, edges, links, notes)
+    assert [tuple(r) for r in top.collect()] == [(11, 1, 1), (12, 1, 0), (10, 0, 2)]
+    assert among.count() == 1
+
+
 def test_repointed_edges_are_dealt_by_rows(spark, duck, sf, monkeypatch):
     monkeypatch.setattr(scratch, "TASK_ROWS", 1024)
     out = ALL["e04_normalized_edges"](spark, sf)
