@@ -71,7 +71,7 @@ def test_paths_over_repeated_edges_come_once(spark):
     assert [tuple(r) for r in G.paths(edges, 1, 4).collect()] == [("1>2>3>4", 3)]
 
 
-@pytest.mark.parametrize("name", ["g10_graph_view"])
+@pytest.mark.parametrize("name", ["g10_graph_view", "g10_graph_view_edges"])
 def test_notes_of_an_entity_are_counted_after_links_are_distinct(spark, sf, name):
     assert "count(distinct" not in ALL[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
